@@ -33,7 +33,7 @@ RANGES = 1024
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 and, if asked for, ids."""
-    schema = T.StructType().add("id", docs.schema[id_col].dataType).add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = T.StructType().add("id", docs.schema[id_col].dataType).add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
