@@ -142,25 +142,39 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return ByteNet.fresh().fit([t.encode("utf-8", "surrogatepass") for t, _ in rows], [y for _, y in rows])
 
 
+def _score_column(net: ByteNet, texts: list[bytes]) -> np.ndarray:
+    scores, group, total = [np.zeros(0)], [], 0
+    for t in texts:
+        group.append(t)
+        total += len(t)
+        if total > PIECE:
+            scores.append(net.score(group))
+            group, total = [], 0
+    if group:
+        scores.append(net.score(group))
+    return np.concatenate(scores)
+
+
+def keep_good(docs: DataFrame, net: ByteNet, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that the network accepts; every column stays and nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).cast(pa.string()).cast(pa.binary()).to_pylist()
+            yield b.filter(pa.array(_score_column(net, [t or b"" for t in texts]) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def quality_scores(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: id_col, held_out, score, predicted."""
     schema = T.StructType().add(id_col, docs.schema[id_col].dataType).add("held_out", "boolean").add("score", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2)
-            scores, group, total = [], [], 0
-            for i in range(b.num_rows):
-                t = texts[i].as_buffer()
-                group.append(bytes(t) if t is not None else b"")
-                total += len(group[-1])
-                if total > PIECE:
-                    scores.append(net.score(group))
-                    group, total = [], 0
-            if group:
-                scores.append(net.score(group))
-            if scores:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(scores))], names=schema.names)
+            scores = _score_column(net, [t or b"" for t in b.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores)], names=schema.names)
 
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("bytes"))
     return rows.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
