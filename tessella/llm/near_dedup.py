@@ -11,9 +11,9 @@ signature agrees, so a run costs rows x leaders and emits one candidate a row an
 Leaders of runs that touch a partition's border meet in a second, small pass.
 
 Candidates are confirmed on full shingle sets of the whole texts.  Confirmed links are contracted by alternating
-large-star and small-star steps with every round written to the shared folder.  Candidates that failed may hide links
-between two followers of one leader; those are enumerated per leader under the triangle inequality of the Jaccard
-distance and the signature test, confirmed in the same way, and contracted again.
+large-star and small-star steps with every round written to the shared folder.  The leader of a run is its hub, the row
+nearest to all others, so copies with different edits meet at their origin.  A follower that missed its leader is then
+tried with the few followers of that leader whose signatures are nearest to its own, which stays linear.
 
 Defined results: null, empty or blank text has an empty set, links with nothing and keeps itself; fewer words than k
 are one shingle; rows that share an id are one node; ids are integers, a null id is replaced by a hash of its set;
@@ -38,6 +38,8 @@ THRESHOLD = 0.85
 K = 5
 #: Signatures that agree in fewer places than this are not candidates; at similarity 0.85 that happens once in 50,000.
 AGREE = 17
+#: Followers of the same leader that a follower which missed it is compared with.
+MATES = 4
 
 _R = np.random.Generator(np.random.PCG64(5))
 _MUL = _R.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,6 +114,17 @@ def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node), _binary(small)], names=["key", "node", "sig"])
 
 
+def _hub(s: np.ndarray) -> int:
+    """The row nearest to all: of few rows the one that agrees most with the others, of many the one that agrees most
+    with the commonest value of each place.  In a family of copies with different edits that is their origin."""
+    if len(s) < 3:
+        return 0
+    if len(s) <= 64:
+        return int((s[:, None] == s[None]).sum((1, 2)).argmax())
+    common = np.array([np.bincount(s[:, j], minlength=256).argmax() for j in range(s.shape[1])], np.uint8)
+    return int((s == common).sum(1).argmax())
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key and node: candidates (a = leader, b = follower), and leaders of the partition's edge runs."""
     key, nodes, sigs, edge = None, None, None, True  # the run that goes on: its leaders; edge: it began the partition
@@ -127,7 +140,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = rest[free]
         new_n, new_s = [], []
         while len(rest):
-            i, rest = rest[0], rest[1:]
+            at = _hub(s[rest])
+            i, rest = rest[at], np.delete(rest, at)
             new_n.append(n[i])
             new_s.append(s[i])
             hit = (s[rest] == s[i]).sum(1) >= AGREE
@@ -187,6 +201,30 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([], [(key, x, y) for x, y in zip(nodes, sigs, strict=True)])
 
 
+def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by leader: for each follower that missed it the MATES rows of other components whose signatures
+    agree most, so the output is linear in the followers.  A batch is compared at a time."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        a, m, failed, comp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        s = (_bytes_of(b.column(4), 4 * HASHES).view(np.uint32) & np.uint32(0xFF)).astype(np.uint8)
+        starts = np.append(0, np.flatnonzero(a[1:] != a[:-1]) + 1)
+        left, right = [], []
+        for lo, hi in zip(starts, np.append(starts[1:], len(a)), strict=True):
+            lost = lo + np.flatnonzero(failed[lo:hi])
+            for at in range(0, len(lost), 64):
+                rows = lost[at : at + 64]
+                agree = (s[rows][:, None] == s[None, lo:hi]).sum(2)
+                agree[comp[rows][:, None] == comp[None, lo:hi]] = 0
+                for r, g in zip(rows, agree, strict=True):
+                    for c in np.argsort(-g, kind="stable")[:MATES]:
+                        if g[c] >= AGREE:
+                            left.append(min(m[r], m[lo + c]))
+                            right.append(max(m[r], m[lo + c]))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
 def _confirm(threshold_percent: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, np.ndarray] = {}
@@ -265,15 +303,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not second.filter("linked").isEmpty():
         label = components(links)
 
-    # followers of one leader, one of which missed it: |d(a,b) - d(a,c)| <= 1 - threshold is necessary for a link b-c
-    failed = tested.filter("not linked").select("a", "b", F.col("jaccard").alias("j"))
-    other = tested.select("a", F.col("b").alias("c"), F.col("jaccard").alias("jc"))
-    sig = reps.select("node", "sig")
-    hidden = failed.join(other, (failed["a"] == other["a"]) & (failed["b"] != other["c"]) & (F.abs(failed["j"] - other["jc"]) <= 1 - threshold)).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"))
-    hidden = _across(hidden.dropDuplicates().join(pairs, ["a", "b"], "left_anti"), label)
-    hidden = hidden.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-    agree = sum(((F.substring("sa", 4 * i + 1, 4) == F.substring("sb", 4 * i + 1, 4)).cast("int") for i in range(HASHES)), F.lit(0))
-    third = confirm(hidden.filter(agree >= AGREE), texts, threshold, k)
+    # a follower that missed its leader may still link to another follower of it: the nearest few by signature are tried
+    failed = tested.filter("not linked")
+    mates = tested.select("a", F.col("b").alias("m"), (~F.col("linked")).alias("failed")).join(failed.select("a").dropDuplicates(), "a", "left_semi")
+    comp = label.select(F.col("node").alias("m"), "label")
+    mates = mates.join(reps.select(F.col("node").alias("m"), "sig"), "m").join(comp, "m", "left").select("a", "m", "failed", F.coalesce("label", "m").alias("label"), "sig")
+    near = mates.repartitionByRange("a", F.xxhash64("a", "m")).sortWithinPartitions("a", F.xxhash64("a", "m")).mapInArrow(_mates, "a long, b long")
+    third = confirm(near.dropDuplicates().join(tested, ["a", "b"], "left_anti"), texts, threshold, k)
     if not third.filter("linked").isEmpty():
         label = components(links.unionByName(third.filter("linked")))
 
