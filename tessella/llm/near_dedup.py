@@ -290,7 +290,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = staged(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).dropDuplicates()
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(None)).alias("node"), whole_text(text_col).alias("whole"))
-    texts = staged(texts.join(needed, "node", "left_semi"), "texts")
+    texts = staged(texts.join(needed.hint("merge"), "node", "left_semi"), "texts")
 
     # the leader that most tables name first; then what still crosses components
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("tables", (-F.col("a")).alias("x"))).alias("a")).select("a", "b")
