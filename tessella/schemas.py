@@ -60,7 +60,7 @@ MARKET_DATA = ddl(
 PROCESSED = ddl(
     RAW_DDL + ", content_hash string, char_count int, word_count int, reading_time int, keywords array<string>, "
     f"entities array<{ENTITY}>, auto_summary string, categories array<string>, sentiment struct<label:string,score:double,confidence:double>, importance_score double, "
-    "quality struct<overall:double,completeness:double,content_quality:double,information_value:double,spam:double,structure:double,is_spam:boolean,is_high_quality:boolean>, quality_label string"
+    "quality struct<overall:double,completeness:double,content_quality:double,information_value:double,spam:double,structure:double,is_spam:boolean,is_high_quality:boolean,issues:array<string>>, quality_label string"
 )
 ENTITY_OFFSETS = ddl("doc_id string, text string, type string, start int, end int, confidence double, source string")
 POSTINGS = ddl("doc_id long, field string, term string, tf int, pos array<int>")
