@@ -717,3 +717,89 @@ def valid_items(spark, d):
 @query("SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, sum(length(text)) AS characters FROM conversations GROUP BY ALL")
 def conversation_stats(spark, d):
     return load(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_distinct("role").alias("roles"), F.sum(F.length("text")).alias("characters"))
+
+
+# further scalar and table operators ---------------------------------------------------------------------------------
+
+
+@query(f"""{WITH} SELECT doc_id, {_r('''CASE WHEN contains(x, 'license') THEN 3.0 ELSE 0.0 END + 1.5 * (length(x) - length(replace(x, 'that', ''))) / 4 + CASE WHEN contains(t, 'that') THEN 2.0 ELSE 0.0 END + 0.25
+    + 0.5 * greatest(0.0, 1.0 - floor(epoch(TIMESTAMP '2024-01-31' - publish_time) / 86400) / 30.0)''')} AS relevance FROM (SELECT *, lower(title) AS t, lower(title) || ' ' || lower(content) AS x FROM articles)""")
+def relevance_scores(spark, d):
+    a = articles(spark, d)
+    s = display.relevance(F.col("title"), F.col("content"), "license", ["that"], F.lit(0.5), F.col("publish_time"), F.lit(NOW))
+    return a.select("doc_id", r(s).alias("relevance"))
+
+
+@query(f"{WITH} SELECT doc_id, array_to_string(list_filter(string_split_regex(trim(substring(title, 1, 120)), '[,;，；\\s]+'), lambda x: length(x) BETWEEN 2 AND 20)[1:10], ' ') AS tags, upper(trim(source)) AS code FROM articles")
+def item_fields(spark, d):
+    a = articles(spark, d)
+    return a.select("doc_id", F.array_join(clean.item_tags(F.substring("title", 1, 120)), " ").alias("tags"), clean.item_code(F.col("source")).alias("code"))
+
+
+@query("SELECT event_id, strptime(strftime(ts, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS parsed, CAST(CAST(ts AS DATE) AS VARCHAR) || 'T00:00:00' AS in_url FROM events")
+def parsed_times(spark, d):
+    e = load(spark, d, "events")
+    text, url = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.concat(F.lit("/a/"), F.date_format("ts", "yyyy/MM/dd"), F.lit("/x.html"))
+    return e.select("event_id", clean.parse_timestamp(text).cast("timestamp_ntz").alias("parsed"), urls.date_in_url(url).alias("in_url"))
+
+
+@query(f"{WITH} SELECT doc_id, coalesce(md5(nullif(url, '')), '') AS id, sha256(title || '|' || content || '|' || url || '|' || strftime(publish_time, '%Y-%m-%d %H:%M:%S')) AS hash, md5(url || '|' || title || '|' || strftime(publish_time, '%Y-%m-%d %H:%M:%S')) AS index_id FROM articles")
+def document_keys(spark, d):
+    a, none = articles(spark, d), F.lit("")
+    return a.select(
+        "doc_id", urls.document_id(none, none, F.col("url"), F.col("title"), F.col("publish_time")).alias("id"),
+        urls.document_hash(F.col("title"), F.col("content"), F.col("url"), F.col("publish_time")).alias("hash"), urls.index_id(none, F.col("url"), F.col("title"), F.col("publish_time")).alias("index_id"),
+    )
+
+
+@query("""WITH a AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, 0 AS l FROM documents WHERE lang = 'en'), b AS (SELECT CAST(doc_id + 5 AS VARCHAR) AS id, text, 1 AS l FROM documents WHERE lang <> 'de'), u AS (SELECT *, md5(text) AS h FROM (SELECT * FROM a UNION ALL SELECT * FROM b)),
+    i AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY l, h) AS rn FROM u), j AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY l, id) AS rh FROM i WHERE rn = 1) SELECT id, h AS hash FROM j WHERE rh = 1""")
+def merged_lists(spark, d):
+    docs = load(spark, d, "documents")
+    one = docs.filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("id"), F.lit("").alias("title"), F.col("text").alias("content"))
+    two = docs.filter("lang <> 'de'").select((F.col("doc_id") + 5).cast("string").alias("id"), F.lit("").alias("title"), F.col("text").alias("content"))
+    return tables.merge_lists(one, two).select("id", F.md5("content").alias("hash"))
+
+
+@query("SELECT event_type AS endpoint, CASE WHEN user_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, count(*) AS requests, count(*) FILTER (WHERE value >= 80) AS errors, floor(avg(value) * 100 + 0.5) / 100 AS avg_ms FROM events GROUP BY ALL")
+def request_metrics(spark, d):
+    e = load(spark, d, "events").select(F.col("event_type").alias("endpoint"), F.when(F.col("user_id") % 2 == 0, "GET").otherwise("POST").alias("method"), F.when(F.col("value") >= 80, 500).otherwise(200).alias("status"), F.col("value").alias("ms"))
+    return aggregates.request_metrics(e).select("endpoint", "method", "requests", "errors", r(F.col("avg_ms"), 2).alias("avg_ms"))
+
+
+@query("WITH s AS (SELECT event_type AS source_id, count(*) AS runs, sum(user_id) AS documents, sum(CAST(value > 95 AS INTEGER)) AS errors, max(ts) AS last_sync FROM events GROUP BY ALL) SELECT * FROM s")
+def sync_totals(spark, d):
+    e = load(spark, d, "events").select(F.col("event_type").alias("source_id"), F.col("user_id").alias("documents"), (F.col("value") > 95).cast("int").alias("errors"), F.col("ts").alias("finished"), F.col("ts").alias("next_sync"))
+    return aggregates.run_totals(e).drop("next_sync").withColumn("last_sync", F.col("last_sync").cast("timestamp_ntz"))
+
+
+@query("WITH u AS (SELECT user_id, max(value) AS v FROM events GROUP BY ALL) SELECT CASE WHEN count(*) FILTER (WHERE v > 99.5) = 0 THEN 'healthy' WHEN count(*) FILTER (WHERE v > 99.5) < count(*) // 2 THEN 'degraded' ELSE 'unhealthy' END AS status, CAST(floor(avg(v)) AS BIGINT) AS avg_response_ms, count(*) AS services FROM u")
+def service_health(spark, d):
+    u = load(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("response_ms"))
+    return aggregates.health(u.withColumn("status", F.when(F.col("response_ms") > 99.5, "unhealthy").otherwise("healthy")))
+
+
+@query(f"{WITH}, c AS (SELECT lower(title || ' ' || content) AS x, content FROM articles) SELECT CASE WHEN contains(x, 'ipo') THEN '股票' WHEN contains(x, 'etf') THEN '基金' WHEN contains(x, 'gdp') THEN '宏观经济' ELSE '综合财经' END AS category, count(*) AS n, sum(CAST(floor(length(content) / 5) AS BIGINT)) AS words FROM c GROUP BY ALL")
+def news_categories(spark, d):
+    a = articles(spark, d).withColumn("category", classify.news_category(F.col("title"), F.col("content")))
+    return a.groupBy("category").agg(F.count("*").alias("n"), F.sum(F.floor(F.length("content") / 5)).alias("words"))
+
+
+@query(f"{WITH} SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(range(0, CAST(floor(greatest(length(content) - 1, 0) / 150) AS BIGINT) + 1), lambda i: substring(content, i * 150 + 1, 150)), lambda x: contains(lower(x), 'that'))[1:3], lambda x: regexp_replace(x, '(that)', '<mark>\\1</mark>', 'gi')), ' ... ') AS highlight FROM articles")
+def highlights(spark, d):
+    return articles(spark, d).select("doc_id", F.array_join(display.fragments(F.col("content"), ["that"]), " ... ").alias("highlight"))
+
+
+@query("SELECT o_orderkey, coalesce(o_totalprice, 0) AS score FROM orders WHERE o_orderdate > TIMESTAMP '1998-06-01' ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20 OFFSET 40")
+def sorted_page(spark, d):
+    o = load(spark, d, "orders").filter(filters.newer_than(F.col("o_orderdate"), F.lit("1998-06-01").cast("timestamp")))
+    return tables.page(o, [F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")], 20, 40).select("o_orderkey", F.coalesce("o_totalprice", F.lit(0.0)).alias("score"))
+
+
+@query("""WITH v AS (SELECT vec_id AS id, CAST(label AS DOUBLE) / 10 AS score, row_number() OVER (ORDER BY label DESC, vec_id) AS rank FROM embeddings WHERE vec_id % 3 = 0), k AS (SELECT vec_id AS id, CAST(vec_id % 7 AS DOUBLE) / 7 AS score, row_number() OVER (ORDER BY vec_id % 7 DESC, vec_id) AS rank FROM embeddings WHERE vec_id % 2 = 0)
+    SELECT coalesce(v.id, k.id) AS id, coalesce(v.rank, (SELECT count(*) FROM v) + 1) AS vector_rank, coalesce(k.rank, (SELECT count(*) FROM k) + 1) AS keyword_rank, floor((coalesce(v.score, 0) * 0.7 + coalesce(k.score, 0) * 0.3) * 1e4 + 0.5) / 1e4 AS score FROM v FULL JOIN k ON v.id = k.id""")
+def merged_hits(spark, d):
+    e = load(spark, d, "embeddings")
+    v = tables.ranked(e.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), (F.col("label") / 10).alias("score")), "score", "id", 1_000_000)
+    k = tables.ranked(e.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 7 / 7).alias("score")), "score", "id", 1_000_000)
+    return tables.merge_hits(v, k).select("id", F.col("vector_rank").cast("long").alias("vector_rank"), F.col("keyword_rank").cast("long").alias("keyword_rank"), r(F.col("score")).alias("score"))
