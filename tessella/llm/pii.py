@@ -152,7 +152,7 @@ def _example(r: random.Random) -> tuple[str, str, int]:
     words = " ".join(r.choice(plain) for _ in range(r.randint(1, 5)))
     hexes = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 64))))
     word = r.choice(("enabled", "required", "the-default", "configured", "undefined", "placeholder", "expired.now"))
-    name = r.choice(("ann", "bo.li", "jo_max", "info")) + digits(r.randint(0, 2))
+    name = r.choice(("ann", "bo.li", "jo_max", "info", "peter", "m.ruiz")) + digits(r.choice((0, 0, 1, 2)))
     check = digits(15)
     total = sum(int(c) if i % 2 else (2 * int(c) - 9 * (int(c) > 4)) for i, c in enumerate(check))
     card = check + str(-total % 10)
@@ -166,7 +166,7 @@ def _example(r: random.Random) -> tuple[str, str, int]:
     bban = "".join(r.choice("0123456789") for _ in range(16))
     made = r.randint(0, 15)
     return [
-        (words + " ", f"{name} (at) mail{digits(1)}.example{r.choice((' (dot) ', '.'))}com", 1), (words + " ", f"look (at) {word.split('.')[0]}.it", 0),
+        (said("mail", "contact", "write to", "and", "by"), f"{name} (at) mail{digits(r.randint(0, 1))}.example{r.choice((' (dot) ', '.'))}com", 1), (said("please", "contact", "we", "and"), f"look (at) {word.split('.')[0]}{digits(r.choice((0, 0, 1)))}.it", 0),
         (said("card", "visa", "pay"), four(card), 1), (said("table", "lot", "codes"), four(bad), 0),
         (said("call", "phone", "tel", "fax", "and"), f"({area}) {mid}-{end}", 1), (said("call", "tel.", "contact", "mobile"), f"{area}{sep}{mid}{sep}{end}", 1),
         (said("lot", "rows", "from", "figures"), f"{area} {mid} {end}", 0), (said("ratio", "part", "version"), f"{area}.{mid}.{end}", 0),
