@@ -1,5 +1,5 @@
-"""Versioned Parquet tables: each write is a new directory and one small pointer file, so a reader sees a whole
-version or the one before it, and a failed write leaves the table as it was."""
+"""Versioned Parquet tables: each write is a new directory and one empty mark that names it, so a reader sees a
+whole version or the one before it, and a failed write leaves the table as it was."""
 
 from __future__ import annotations
 
@@ -25,15 +25,16 @@ class Table:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _marks(self) -> list[str]:
+        """Names of the version marks, oldest first."""
+        fs, p = self._fs(f"{self.path}/_version-*")
+        found = fs.globStatus(p)
+        return sorted(str(f.getPath().getName()) for f in found) if found is not None else []
+
     def version(self) -> str | None:
-        fs, p = self._fs(f"{self.path}/_current")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+        """The newest version's folder.  A mark is one empty file whose creation is the commit."""
+        marks = self._marks()
+        return marks[-1].split("-")[2] if marks else None
 
     def read(self) -> DataFrame:
         """The current version; an empty table if there is none."""
@@ -44,13 +45,17 @@ class Table:
         v = uuid.uuid4().hex
         writer = conform(df, self.schema).write
         (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{v}")
-        fs, p = self._fs(f"{self.path}/_next-{v}")
-        out = fs.create(p, True)
-        out.write(bytearray(v.encode()))
-        out.close()
-        _, current = self._fs(f"{self.path}/_current")
-        fs.delete(current, False)
-        fs.rename(p, current)
+        marks = self._marks()
+        number = int(marks[-1].split("-")[1]) + 1 if marks else 0
+        fs, p = self._fs(f"{self.path}/_version-{number:012d}-{v}")
+        fs.create(p, False).close()
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove all but the newest versions."""
+        for mark in self._marks()[:-keep]:
+            for name in (mark, mark.split("-")[2]):
+                fs, p = self._fs(f"{self.path}/{name}")
+                fs.delete(p, True)
 
     def append(self, df: DataFrame) -> None:
         v = self.version()

@@ -89,6 +89,8 @@ def test_table_versions(spark, tmp_path):
     assert t.count() == 0
     t.restore(str(tmp_path / "b"))
     t.compact()
+    t.vacuum(1)
+    assert len(t._marks()) == 1
     assert t.stats()["rows"] == 1 and t.get("a").first().hash == "9"
 
 
