@@ -115,6 +115,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies; every column stays."""
-    stay = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_stays"))
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stays"]), "left_semi")
+    """docs without the copies; every column stays.  Rows that share id and text become one."""
+    groups = exact_groups(docs, id_col, text_col)
+    stay = groups.filter("kept").select(F.col(id_col).alias("_stays"))
+    out = docs.join(stay, docs[id_col].eqNullSafe(stay["_stays"]), "left_semi")
+    repeated = groups.filter(~F.col("kept") & F.col(id_col).eqNullSafe(F.col("keep_id")))
+    return out if repeated.isEmpty() else out.dropDuplicates([id_col, text_col])

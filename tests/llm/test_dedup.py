@@ -42,6 +42,12 @@ def test_exact_dedup_splits_a_hot_group(spark):
     assert exact_dedup.exact_dedup(docs).count() == 2001
 
 
+def test_exact_dedup_keeps_one_of_repeated_rows(spark):
+    docs = edge_docs(spark)
+    out = exact_dedup.exact_dedup(docs)
+    assert out.columns == docs.columns and out.count() == len(exact_brute(rows_of(docs)))
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.exact_groups(empty_docs(spark)).count() == 0
 
