@@ -6,7 +6,7 @@ import numpy as np
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_LIMIT = 1 << 22
+_LIMIT = 1 << 20
 
 
 def _rng(seed: int) -> np.random.Generator:

@@ -24,10 +24,21 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+#: Rows of a narrow table in one file.
+FILE_ROWS = 1_000_000
+
+
+def files_for(rows: int, least: int = 8) -> int:
+    """Files for a narrow table of so many rows at most: few for a small one, and as many as it needs for a large one."""
+    return max(least, rows // FILE_ROWS)
+
+
+def staged(df: DataFrame, name: str, partition_by: str | None = None, files: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: later steps neither recompute it nor depend on an
-    executor's disk.  The files go when the session's JVM ends."""
+    executor's disk.  files bounds the number of files of a table whose size is known, so that a small one does not
+    become as many files as there are shuffle partitions.  The files go when the session's JVM ends."""
     spark = df.sparkSession
+    df = df.coalesce(files) if files else df
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
@@ -36,6 +47,13 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches of at most so many rows: whole texts are wide, and what is made from a batch adds to it."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm._shared import slices
+
 TRAIN_DOCS = 2000
 TRAIN_BYTES = 6000
 FOLDS = 5
 THRESHOLD = 0.3
 WIDTH, STEP, CHUNK, DIM, FILTERS = 12, 4, 256, 6, 24
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -160,7 +162,7 @@ def keep_good(docs: DataFrame, net: ByteNet, text_col: str = "text", threshold:
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(at).cast(pa.string()).cast(pa.binary()).to_pylist()
             yield b.filter(pa.array(_score_column(net, [t or b"" for t in texts]) >= threshold))
 
@@ -172,7 +174,7 @@ def quality_scores(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_c
     schema = T.StructType().add(id_col, docs.schema[id_col].dataType).add("held_out", "boolean").add("score", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             scores = _score_column(net, [t or b"" for t in b.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores)], names=schema.names)
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm._shared import slices
+
 TRAIN_DOCS = 1500
 KEEP_SHARE = 0.5
 MIN_WORDS = 50
@@ -184,7 +186,7 @@ def quality_rules(docs: DataFrame, field: LineField, id_col: str = "doc_id", tex
     names = schema.names
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1)
             rows = []
             for i in range(b.num_rows):
