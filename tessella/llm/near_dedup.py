@@ -13,7 +13,7 @@ Leaders of runs that touch a partition's border meet in a second, small pass.
 Candidates are confirmed on full shingle sets of the whole texts.  Confirmed links are contracted by alternating
 large-star and small-star steps with every round written to the shared folder.  The leader of a run is its hub, the row
 nearest to all others, so copies with different edits meet at their origin.  A follower that missed its leader is then
-tried with the few followers of that leader whose signatures are nearest to its own, which stays linear.
+tried with the few followers of that leader that are nearest to the leader or to itself, which stays linear.
 
 Defined results: null, empty or blank text has an empty set, links with nothing and keeps itself; fewer words than k
 are one shingle; rows that share an id are one node; ids are integers, a null id is replaced by a hash of its set;
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm._sets import mix, overlap, shingle_sets
-from tessella.llm._shared import staged, whole_text
+from tessella.llm._shared import files_for, staged, whole_text
 
 TENSOR = 8
 HASHES = 4 * TENSOR
@@ -39,7 +39,9 @@ K = 5
 #: Signatures that agree in fewer places than this are not candidates; at similarity 0.85 that happens once in 50,000.
 AGREE = 17
 #: Followers of the same leader that a follower which missed it is compared with.
-MATES = 4
+MATES = 2
+#: Hash classes of a leader's followers; the one nearest to the leader in each class is tried with those that missed it.
+HUBS = 2
 
 _R = np.random.Generator(np.random.PCG64(5))
 _MUL = _R.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,14 +117,17 @@ def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hub(s: np.ndarray) -> int:
-    """The row nearest to all: of few rows the one that agrees most with the others, of many the one that agrees most
-    with the commonest value of each place.  In a family of copies with different edits that is their origin."""
+    """The first of the rows that are nearest to all: of few rows those that agree most with the others, of many those
+    that agree most with the commonest value of each place.  In a family of copies with different edits that is their
+    origin or a row close to it; taking the first makes the tables name the same few leaders."""
     if len(s) < 3:
         return 0
     if len(s) <= 64:
-        return int((s[:, None] == s[None]).sum((1, 2)).argmax())
+        near = (s[:, None] == s[None]).sum((1, 2))
+        return int((near >= 0.95 * near.max()).argmax())
     common = np.array([np.bincount(s[:, j], minlength=256).argmax() for j in range(s.shape[1])], np.uint8)
-    return int((s == common).sum(1).argmax())
+    near = (s == common).sum(1)
+    return int((near >= near.max() - 2).argmax())
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +159,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = np.concatenate([p[1] for p in pairs] or [np.zeros(0, np.int64)]).astype(np.int64)
         same = a != b
         a, b = a[same], b[same]
-        at, inverse = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_counts=True)
+        at, inverse = np.unique(np.stack([a, b], 1), axis=0, return_counts=True)
         n, m = len(at), len(edges)
         ek = pa.array([e[0] for e in edges], pa.int64())
         en = pa.array([int(e[1]) for e in edges], pa.int64())
@@ -220,8 +225,8 @@ def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for r, g in zip(rows, agree, strict=True):
                     for c in np.argsort(-g, kind="stable")[:MATES]:
                         if g[c] >= AGREE:
-                            left.append(min(m[r], m[lo + c]))
-                            right.append(max(m[r], m[lo + c]))
+                            left.append(m[lo + c])
+                            right.append(m[r])
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
@@ -251,24 +256,24 @@ def _confirm(threshold_percent: int, k: int):
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, k: int = K, files: int | None = None) -> DataFrame:
     """a, b, linked, jaccard of each pair, on full sets.  texts: node, whole."""
     left = pairs.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("whole").alias("text_b")), "b")
     both = left.join(texts.select(F.col("node").alias("a"), F.col("whole").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     done = both.mapInArrow(_confirm(round(100 * threshold), k), "a long, b long, linked boolean, jaccard double")
-    return staged(done.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.max("jaccard").alias("jaccard")), "links")
+    return staged(done.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.max("jaccard").alias("jaccard")), "links", files=files)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """node, label (the smallest node of its component) for every node with an edge."""
-    now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").dropDuplicates(), "edges")
+    now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").dropDuplicates(), "edges", files=files)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").dropDuplicates()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        new = staged(small.filter("u <> v").dropDuplicates(), "edges")
+        new = staged(small.filter("u <> v").dropDuplicates(), "edges", files=files)
         mark = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
         if new.agg(*mark).first() == now.agg(*mark).first():
             break
@@ -280,38 +285,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id_col, n_shingles, component_id, kept."""
     sets = staged(set_table(docs, id_col, text_col, k), "sets")
     filled = sets.filter("n > 0")
-    reps = staged(filled.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")).select(F.coalesce("id", "f1").alias("node"), "f1", "f2", "sig"), "nodes")
+    n_docs = sets.count()
+    reps = staged(filled.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")).select(F.coalesce("id", "f1").alias("node"), "f1", "f2", "sig"), "nodes", files=files_for(5 * n_docs))  # rows of a few hundred bytes
     rows = reps.select("node", "sig").mapInArrow(_band, "key long, node long, sig binary")
     what = "a long, b long, tables long, key long, sig binary"
     found = staged(rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_candidates, what), "candidates")
     edges = found.filter("b is null").select("key", F.col("a").alias("node"), "sig")
     over = edges.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, what).filter("b is not null")
     pairs = found.filter("b is not null").unionByName(over).groupBy("a", "b").agg(F.sum("tables").alias("tables"))
-    pairs = staged(pairs, "pairs")
+    files = files_for(found.filter("b is not null").count())  # what follows has at most a few rows for each of these
+    pairs = staged(pairs, "pairs", files=files)
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).dropDuplicates()
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(None)).alias("node"), whole_text(text_col).alias("whole"))
-    texts = staged(texts.join(needed.hint("merge"), "node", "left_semi"), "texts")
+    texts = staged(texts.join(needed.hint("merge"), "node", "left_semi"), "texts", files=files_for(50 * n_docs, 16))  # whole texts
 
     # the leader that most tables name first; then what still crosses components
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("tables", (-F.col("a")).alias("x"))).alias("a")).select("a", "b")
-    first = confirm(best, texts, threshold, k)
-    label = components(first.filter("linked"))
+    first = confirm(best, texts, threshold, k, files)
+    label = components(first.filter("linked"), files)
     crossing = _across(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), label)
-    second = confirm(crossing, texts, threshold, k)
+    second = confirm(crossing, texts, threshold, k, files)
     tested = first.unionByName(second)
-    links = tested.filter("linked")
     if not second.filter("linked").isEmpty():
-        label = components(links)
-
-    # a follower that missed its leader may still link to another follower of it: the nearest few by signature are tried
-    failed = tested.filter("not linked")
-    mates = tested.select("a", F.col("b").alias("m"), (~F.col("linked")).alias("failed")).join(failed.select("a").dropDuplicates(), "a", "left_semi")
-    comp = label.select(F.col("node").alias("m"), "label")
-    mates = mates.join(reps.select(F.col("node").alias("m"), "sig"), "m").join(comp, "m", "left").select("a", "m", "failed", F.coalesce("label", "m").alias("label"), "sig")
-    near = mates.repartitionByRange("a", F.xxhash64("a", "m")).sortWithinPartitions("a", F.xxhash64("a", "m")).mapInArrow(_mates, "a long, b long")
-    third = confirm(near.dropDuplicates().join(tested, ["a", "b"], "left_anti"), texts, threshold, k)
-    if not third.filter("linked").isEmpty():
-        label = components(links.unionByName(third.filter("linked")))
+        label = components(tested.filter("linked"), files)
+    while True:
+        more = confirm(_across(_repair(tested, reps, label, files).join(tested, ["a", "b"], "left_anti"), label), texts, threshold, k, files)
+        if more.filter("linked").isEmpty():
+            break
+        tested = staged(tested.unionByName(more), "tested", files=files)
+        label = components(tested.filter("linked"), files)
 
     label = label.withColumnRenamed("node", "l_node")
     groups = reps.select("node", "f1", "f2").join(label, F.col("node") == F.col("l_node"), "left").select("f1", "f2", F.coalesce("label", "node").alias("component_id"))
@@ -320,10 +322,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _repair(tested: DataFrame, reps: DataFrame, label: DataFrame, files: int | None = None) -> DataFrame:
+    """a, b: what followers that missed their leaders are tried with, a constant number for each: the most linked node of
+    the components of those leaders; and of the followers of the nearest such leader the most linked one, the ones
+    nearest to the leader (the best of each hash class, so the aggregate is bounded), and the ones nearest to the
+    follower itself by signature."""
+    links = tested.filter("linked").select("a", "b", "jaccard")
+    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
+    degree = links.groupBy("b").agg(F.count("*").alias("degree"))
+    centre = degree.join(label.withColumnRenamed("node", "b"), "b").groupBy("label").agg(F.max(F.struct("degree", (-F.col("b")).alias("x"))).alias("centre"))
+    missed = _across(tested.filter("not linked").select("a", "b", "jaccard"), label)
+    missed = missed.join(label.withColumnRenamed("node", "a"), "a", "left").join(centre, "label", "left")
+    missed = missed.groupBy("b").agg(F.max(F.struct("jaccard", (-F.col("a")).alias("x"))).alias("best"), F.max("centre").alias("centre"))
+    missed = staged(missed.select((-F.col("best.x")).alias("a"), "b", (-F.col("centre.x")).alias("centre")), "failed", files=files)
+    failed = missed.select("a", "b")
+    popular = links.join(degree, "b").groupBy("a").agg(F.max(F.struct("degree", (-F.col("b")).alias("x"))).alias("h"))
+    kind = F.pmod(F.xxhash64("b"), F.lit(HUBS))
+    nearest = tested.groupBy("a").agg(*[F.max(F.when(kind == i, F.struct("jaccard", (-F.col("b")).alias("x")))).alias(f"h{i}") for i in range(HUBS)])
+    hubs = popular.select("a", (-F.col("h.x")).alias("hub")).unionByName(nearest.select("a", F.explode(F.array_compact(F.array(*[-F.col(f"h{i}.x") for i in range(HUBS)]))).alias("hub")))
+    by_hub = failed.join(hubs, "a").filter("hub <> b").select(F.col("hub").alias("a"), "b").unionByName(missed.filter("centre is not null").select(F.col("centre").alias("a"), "b"))
+    rows = tested.select("a", F.col("b").alias("m")).join(failed.select("a").dropDuplicates(), "a", "left_semi")
+    rows = rows.join(failed.select("a", F.col("b").alias("m"), F.lit(True).alias("failed")), ["a", "m"], "left")
+    rows = rows.join(reps.select(F.col("node").alias("m"), "sig"), "m").join(label.select(F.col("node").alias("m"), "label"), "m", "left")
+    rows = rows.select("a", "m", F.coalesce("failed", F.lit(False)).alias("failed"), F.coalesce("label", "m").alias("label"), "sig")
+    near = rows.repartitionByRange("a", F.xxhash64("a", "m")).sortWithinPartitions("a", F.xxhash64("a", "m")).mapInArrow(_mates, "a long, b long")
+    return by_hub.unionByName(near).dropDuplicates()
+
+
 def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components so far."""
     la, lb = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(*pairs.columns)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
