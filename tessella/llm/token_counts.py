@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import whole_text
+from tessella.llm._shared import staged, whole_text
 from tessella.llm._tokens import TOKENIZER, encoder
 
 BLOCK = 1024
@@ -37,9 +37,9 @@ def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def length_histogram(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """length, n_docs."""
+    """length, n_docs: one row per distinct length, written once, as its readers go over it twice."""
     only = docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text"))
-    return token_lengths(only, "id", "text", tokenizer).groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs"))
+    return staged(token_lengths(only, "id", "text", tokenizer).groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")), "lengths", files=8)
 
 
 def context_limits(histogram: DataFrame) -> DataFrame:
