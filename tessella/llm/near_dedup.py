@@ -38,24 +38,28 @@ THRESHOLD = 0.85
 K = 5
 #: Signatures that agree in fewer places than this are not candidates; at similarity 0.85 that happens once in 50,000.
 AGREE = 17
-#: Followers of the same leader that a follower which missed it is compared with.
-MATES = 2
-#: Hash classes of a leader's followers; the one nearest to the leader in each class is tried with those that missed it.
-HUBS = 2
+#: Tables and hashes a table of the second banding, which takes the families that the leaders left in pieces.
+DEEP_TABLES, DEEP_HASHES = 32, 8
+#: Of so many further hashes of the second banding's rows this many agree; at similarity 0.85 fewer do once in 100,000.
+DEEP_SIG, DEEP_AGREE = 192, 142
 
 _R = np.random.Generator(np.random.PCG64(5))
 _MUL = _R.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _R.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _TABLE = mix(np.arange(1, TENSOR * TENSOR + 1, dtype=np.uint64)).reshape(TENSOR, TENSOR)
 _HIGH = np.uint64(32)
+_DEEP_MUL = _R.integers(1, 1 << 63, DEEP_TABLES * DEEP_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_DEEP_ADD = _R.integers(0, 1 << 63, DEEP_TABLES * DEEP_HASHES, dtype=np.uint64)
+_DEEP_TABLE = mix(np.arange(1, DEEP_TABLES + 1, dtype=np.uint64))
+_DEEP_PLACE = mix(np.arange(1, DEEP_HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def minhashes(s: np.ndarray) -> np.ndarray:
-    """HASHES minima of multiply-add-shift hashes."""
+def minhashes(s: np.ndarray, mul: np.ndarray = _MUL, add: np.ndarray = _ADD) -> np.ndarray:
+    """Minima of multiply-add-shift hashes."""
     with np.errstate(over="ignore"):
-        low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+        low = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(s), 4096):
-            low = np.minimum(low, (s[at : at + 4096, None] * _MUL + _ADD).min(0))
+            low = np.minimum(low, (s[at : at + 4096, None] * mul + add).min(0))
         return (mix(low) >> _HIGH).astype(np.uint32)
 
 
@@ -206,28 +210,67 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([], [(key, x, y) for x, y in zip(nodes, sigs, strict=True)])
 
 
-def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by leader: for each follower that missed it the MATES rows of other components whose signatures
-    agree most, so the output is linear in the followers.  A batch is compared at a time."""
+def _deep_band(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """node, label, whole to the rows of the second banding."""
+        for b in batches:
+            for lo in range(0, b.num_rows, 128):
+                part = b.slice(lo, 128)
+                sig = np.stack([minhashes(s, _DEEP_MUL, _DEEP_ADD) for s in shingle_sets(_utf8(part.column(2)), k)])
+                with np.errstate(over="ignore"):
+                    keys = mix((sig.astype(np.uint64).reshape(len(sig), DEEP_TABLES, DEEP_HASHES) * _DEEP_PLACE).sum(2, dtype=np.uint64) + _DEEP_TABLE).view(np.int64)
+                small = np.repeat((sig[:, :DEEP_SIG] & np.uint32(0xFF)).astype(np.uint8), DEEP_TABLES, axis=0)
+                node, label = (np.repeat(part.column(i).to_numpy(), DEEP_TABLES) for i in range(2))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node), pa.array(label), _binary(small)], names=["key", "node", "label", "sig"])
+
+    return run
+
+
+def _cell_pairs(n: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every pair of the cell's rows that is in two components and agrees in DEEP_AGREE places: lesser, greater, places."""
+    a, b, g = [], [], []
+    for lo in range(0, len(n), 64):
+        differ = c[lo : lo + 64, None] != c[None]
+        differ &= n[lo : lo + 64, None] < n[None]
+        i, j = np.nonzero(differ)
+        for at in range(0, len(i), 1 << 15):
+            x, y = lo + i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+            agree = (s[x] == s[y]).sum(1)
+            hit = agree >= DEEP_AGREE
+            a.append(n[x[hit]])
+            b.append(n[y[hit]])
+            g.append(agree[hit])
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(v or [none]).astype(np.int64) for v in (a, b, g))
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, label, sig) sorted by key: all pairs of each whole cell, however many batches it takes."""
+    held: list = []
+
+    def out(cells):
+        cols = [np.concatenate(x) for x in zip(*cells, strict=True)] if cells else [np.zeros(0, np.int64)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["a", "b", "agree"])
+
+    def pairs(parts):
+        return _cell_pairs(*(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)))
+
     for b in batches:
         if not b.num_rows:
             continue
-        a, m, failed, comp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        s = (_bytes_of(b.column(4), 4 * HASHES).view(np.uint32) & np.uint32(0xFF)).astype(np.uint8)
-        starts = np.append(0, np.flatnonzero(a[1:] != a[:-1]) + 1)
-        left, right = [], []
-        for lo, hi in zip(starts, np.append(starts[1:], len(a)), strict=True):
-            lost = lo + np.flatnonzero(failed[lo:hi])
-            for at in range(0, len(lost), 64):
-                rows = lost[at : at + 64]
-                agree = (s[rows][:, None] == s[None, lo:hi]).sum(2)
-                agree[comp[rows][:, None] == comp[None, lo:hi]] = 0
-                for r, g in zip(rows, agree, strict=True):
-                    for c in np.argsort(-g, kind="stable")[:MATES]:
-                        if g[c] >= AGREE:
-                            left.append(m[lo + c])
-                            right.append(m[r])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        k, n, c = (b.column(i).to_numpy() for i in range(3))
+        s = _bytes_of(b.column(3), DEEP_SIG)
+        starts = np.append(0, np.flatnonzero(k[1:] != k[:-1]) + 1)
+        done = []
+        for lo, hi in zip(starts, np.append(starts[1:], len(k)), strict=True):
+            if held and held[0][0] != k[lo]:
+                if sum(len(p[1]) for p in held) > 1:
+                    done.append(pairs(held))
+                held = []
+            held.append((k[lo], n[lo:hi], c[lo:hi], s[lo:hi]))
+        yield out(done)
+    if held:
+        yield out([pairs(held)])
 
 
 def _confirm(threshold_percent: int, k: int):
@@ -308,12 +351,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tested = first.unionByName(second)
     if not second.filter("linked").isEmpty():
         label = components(tested.filter("linked"), files)
-    while True:
-        more = confirm(_across(_repair(tested, reps, label, files).join(tested, ["a", "b"], "left_anti"), label), texts, threshold, k, files)
-        if more.filter("linked").isEmpty():
-            break
-        tested = staged(tested.unionByName(more), "tested", files=files)
-        label = components(tested.filter("linked"), files)
+    deep = _deep_pairs(tested, pairs, texts, label, k)
+    if not deep.isEmpty():
+        # the nearest of each first: what they join leaves fewer pairs to be read; then every pair that still crosses
+        near = deep.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
+        near = near.unionByName(deep.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b")).select("a", "b")).dropDuplicates()
+        for some in (near, deep.select("a", "b")):
+            more = confirm(_across(some.join(tested, ["a", "b"], "left_anti"), label), texts, threshold, k, files)
+            if not more.filter("linked").isEmpty():
+                tested = staged(tested.unionByName(more), "tested", files=files)
+                label = components(tested.filter("linked"), files)
 
     label = label.withColumnRenamed("node", "l_node")
     groups = reps.select("node", "f1", "f2").join(label, F.col("node") == F.col("l_node"), "left").select("f1", "f2", F.coalesce("label", "node").alias("component_id"))
@@ -322,31 +369,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _repair(tested: DataFrame, reps: DataFrame, label: DataFrame, files: int | None = None) -> DataFrame:
-    """a, b: what followers that missed their leaders are tried with, a constant number for each: the most linked node of
-    the components of those leaders; and of the followers of the nearest such leader the most linked one, the ones
-    nearest to the leader (the best of each hash class, so the aggregate is bounded), and the ones nearest to the
-    follower itself by signature."""
-    links = tested.filter("linked").select("a", "b", "jaccard")
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
-    degree = links.groupBy("b").agg(F.count("*").alias("degree"))
-    centre = degree.join(label.withColumnRenamed("node", "b"), "b").groupBy("label").agg(F.max(F.struct("degree", (-F.col("b")).alias("x"))).alias("centre"))
-    missed = _across(tested.filter("not linked").select("a", "b", "jaccard"), label)
-    missed = missed.join(label.withColumnRenamed("node", "a"), "a", "left").join(centre, "label", "left")
-    missed = missed.groupBy("b").agg(F.max(F.struct("jaccard", (-F.col("a")).alias("x"))).alias("best"), F.max("centre").alias("centre"))
-    missed = staged(missed.select((-F.col("best.x")).alias("a"), "b", (-F.col("centre.x")).alias("centre")), "failed", files=files)
-    failed = missed.select("a", "b")
-    popular = links.join(degree, "b").groupBy("a").agg(F.max(F.struct("degree", (-F.col("b")).alias("x"))).alias("h"))
-    kind = F.pmod(F.xxhash64("b"), F.lit(HUBS))
-    nearest = tested.groupBy("a").agg(*[F.max(F.when(kind == i, F.struct("jaccard", (-F.col("b")).alias("x")))).alias(f"h{i}") for i in range(HUBS)])
-    hubs = popular.select("a", (-F.col("h.x")).alias("hub")).unionByName(nearest.select("a", F.explode(F.array_compact(F.array(*[-F.col(f"h{i}.x") for i in range(HUBS)]))).alias("hub")))
-    by_hub = failed.join(hubs, "a").filter("hub <> b").select(F.col("hub").alias("a"), "b").unionByName(missed.filter("centre is not null").select(F.col("centre").alias("a"), "b"))
-    rows = tested.select("a", F.col("b").alias("m")).join(failed.select("a").dropDuplicates(), "a", "left_semi")
-    rows = rows.join(failed.select("a", F.col("b").alias("m"), F.lit(True).alias("failed")), ["a", "m"], "left")
-    rows = rows.join(reps.select(F.col("node").alias("m"), "sig"), "m").join(label.select(F.col("node").alias("m"), "label"), "m", "left")
-    rows = rows.select("a", "m", F.coalesce("failed", F.lit(False)).alias("failed"), F.coalesce("label", "m").alias("label"), "sig")
-    near = rows.repartitionByRange("a", F.xxhash64("a", "m")).sortWithinPartitions("a", F.xxhash64("a", "m")).mapInArrow(_mates, "a long, b long")
-    return by_hub.unionByName(near).dropDuplicates()
+def _deep_pairs(tested: DataFrame, pairs: DataFrame, texts: DataFrame, label: DataFrame, k: int) -> DataFrame:
+    """a, b, agree: of the families whose leader some follower missed, all pairs in two components that meet in a table
+    of the second banding and agree there.  The leaders play no part in it."""
+    failed = staged(_across(tested.filter("not linked").select("a", "b"), label), "failed")
+    heads = failed.select("a").dropDuplicates()
+    family = pairs.join(heads, "a", "left_semi").select(F.col("b").alias("node"))
+    nodes = family.unionByName(heads.select(F.col("a").alias("node"))).unionByName(failed.select(F.col("b").alias("node"))).dropDuplicates()
+    nodes = nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    whole = nodes.join(texts, "node").select("node", "label", "whole")
+    rows = whole.mapInArrow(_deep_band(k), "key long, node long, label long, sig binary")
+    found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_cells, "a long, b long, agree long")
+    return staged(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "deep-pairs")
 
 
 def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:

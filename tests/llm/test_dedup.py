@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import defaultdict
 
 import pytest
@@ -143,6 +144,27 @@ def test_near_dedup_of_a_family_with_different_edits(spark):
     assert near_dedup.near_dedup(docs).count() == len({c for c, _ in want.values()})
 
 
+def twins_without_an_origin(n=150):
+    """Pairs of rows that share two edits (similarity 0.9); all others of the family are about 0.73 to each other."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(n):
+        at = rng.sample(range(8, 190, 5), 4)
+        for j in (0, 1):
+            w = [f"w{x}" for x in range(200)]
+            w[at[0]], w[at[1]], w[at[2 + j]] = f"x{i}", f"z{i}", f"y{i}_{j}"
+            rows.append((2 * i + j, " ".join(w)))
+    return rows
+
+
+def test_near_dedup_joins_followers_that_miss_their_leader(spark):
+    rows = twins_without_an_origin()
+    want = near_brute(rows)
+    assert len({c for c, _ in want.values()}) >= 100
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (c, _) in want.items()}
+
+
 def test_near_dedup_of_nothing(spark):
     assert near_dedup.near_groups(empty_docs(spark)).count() == 0
 
