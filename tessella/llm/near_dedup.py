@@ -42,6 +42,8 @@ AGREE = 17
 DEEP_TABLES, DEEP_HASHES = 32, 8
 #: Of so many further hashes of the second banding's rows this many agree; at similarity 0.85 fewer do once in 100,000.
 DEEP_SIG, DEEP_AGREE = 192, 142
+#: A table key of the second banding with more rows is dealt out in blocks of about so many, each two of which meet.
+CELL = 2048
 
 _R = np.random.Generator(np.random.PCG64(5))
 _MUL = _R.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -378,7 +380,11 @@ def _deep_pairs(tested: DataFrame, pairs: DataFrame, texts: DataFrame, label: Da
     nodes = family.unionByName(heads.select(F.col("a").alias("node"))).unionByName(failed.select(F.col("b").alias("node"))).dropDuplicates()
     nodes = nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     whole = nodes.join(texts, "node").select("node", "label", "whole")
-    rows = whole.mapInArrow(_deep_band(k), "key long, node long, label long, sig binary")
+    rows = staged(whole.mapInArrow(_deep_band(k), "key long, node long, label long, sig binary"), "deep-rows")
+    hot = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CELL).select("key", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
+    rows = rows.join(hot, "key", "left").withColumn("i", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("blocks", F.lit(1)) - 1).cast("long"))))
+    rows = rows.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))).alias("key"), "node", "label", "sig")
     found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_cells, "a long, b long, agree long")
     return staged(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "deep-pairs")
 

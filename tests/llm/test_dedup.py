@@ -165,6 +165,20 @@ def test_near_dedup_joins_followers_that_miss_their_leader(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (c, _) in want.items()}
 
 
+def test_near_dedup_does_not_depend_on_batches_or_blocks(spark, monkeypatch):
+    rows = twins_without_an_origin(60)
+    want = near_brute(rows)
+    monkeypatch.setattr(near_dedup, "CELL", 4)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "8")
+    try:
+        got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set(name, old)
+    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (c, _) in want.items()}
+
+
 def test_near_dedup_of_nothing(spark):
     assert near_dedup.near_groups(empty_docs(spark)).count() == 0
 
