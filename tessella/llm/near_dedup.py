@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm._sets import mix, overlap, shingle_sets
@@ -88,8 +88,13 @@ def _utf8(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def _sha(id_col: str, text_col: str) -> Column:
+    """What tells rows with a null id apart; null where there is an id."""
+    return F.when(F.col(id_col).cast("long").isNull(), F.sha2(whole_text(text_col), 256))
+
+
 def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """id, n (set size), f1, f2 (the set's fingerprint), sig."""
+    """id, n (set size), f1, f2 (the set's fingerprint), sig, and of a null id the text's sha256."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,10 +109,10 @@ def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
                         f[0, i] = s.sum(dtype=np.uint64)
                         f[1, i] = mix(s).sum(dtype=np.uint64)
                 n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), _binary(sig.view(np.uint8))], names=["id", "n", "f1", "f2", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), _binary(sig.view(np.uint8)), part.column(2)], names=["id", "n", "f1", "f2", "sig", "sha"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("whole"))
-    return rows.mapInArrow(build, "id long, n long, f1 long, f2 long, sig binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("whole"), _sha(id_col, text_col).alias("sha"))
+    return rows.mapInArrow(build, "id long, n long, f1 long, f2 long, sig binary, sha string")
 
 
 def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,6 +333,11 @@ def components(edges: DataFrame, files: int | None = None) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = K) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id, kept."""
+    return _groups(docs, id_col, text_col, threshold, k).drop("_sha")
+
+
+def _groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = K) -> DataFrame:
+    """near_groups() and _sha."""
     sets = staged(set_table(docs, id_col, text_col, k), "sets")
     filled = sets.filter("n > 0")
     n_docs = sets.count()
@@ -341,7 +351,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     files = files_for(found.filter("b is not null").count())  # what follows has at most a few rows for each of these
     pairs = staged(pairs, "pairs", files=files)
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).dropDuplicates()
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(None)).alias("node"), whole_text(text_col).alias("whole"))
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), whole_text(text_col).alias("whole"), _sha(id_col, text_col).alias("sha"))
+    unnamed = filled.filter("id is null").groupBy("sha").agg(F.min("f1").alias("f1"))
+    unnamed = texts.filter("node is null").join(unnamed, "sha").groupBy("f1").agg(F.min("whole").alias("whole"))  # one text of each set
+    texts = texts.filter("node is not null").select("node", "whole").unionByName(unnamed.select(F.col("f1").alias("node"), "whole"))
     texts = staged(texts.join(needed.hint("merge"), "node", "left_semi"), "texts", files=files_for(50 * n_docs, 16))  # whole texts
 
     # the leader that most tables name first; then what still crosses components
@@ -366,9 +379,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     label = label.withColumnRenamed("node", "l_node")
     groups = reps.select("node", "f1", "f2").join(label, F.col("node") == F.col("l_node"), "left").select("f1", "f2", F.coalesce("label", "node").alias("component_id"))
-    out = filled.join(groups, ["f1", "f2"]).select("id", "n", "component_id")
-    out = out.unionByName(sets.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = filled.join(groups, ["f1", "f2"]).select("id", F.coalesce("id", "f1").alias("node"), "n", "component_id", "sha")
+    out = out.unionByName(sets.filter("n = 0").select("id", F.col("id").alias("node"), "n", F.col("id").alias("component_id"), "sha"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("node").eqNullSafe(F.col("component_id")).alias("kept"), F.col("sha").alias("_sha"))
 
 
 def _deep_pairs(tested: DataFrame, pairs: DataFrame, texts: DataFrame, label: DataFrame, k: int) -> DataFrame:
@@ -397,5 +410,5 @@ def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one document of each group; every column stays."""
-    stay = near_groups(docs, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("_stays"))
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_stays"]), "left_semi")
+    stay = _groups(docs, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("_stays"), F.col("_sha").alias("_stays_sha"))
+    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_stays"]) & _sha(id_col, text_col).eqNullSafe(stay["_stays_sha"]), "left_semi")

@@ -179,6 +179,17 @@ def test_near_dedup_does_not_depend_on_batches_or_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (c, _) in want.items()}
 
 
+def test_near_dedup_of_null_ids(spark):
+    text = [" ".join(f"{p}{i}" for i in range(100)) for p in "abc"]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1] + " end"), (7, text[2]), (None, text[2]), (None, text[2] + " end"), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_groups(docs).collect()
+    assert len(got) == 7 and len({r.component_id for r in got if r.n_shingles}) == 3 and sum(r.kept for r in got) == 4
+    kept = [r.text for r in near_dedup.near_dedup(docs).collect()]
+    assert len(kept) == 4 and text[0] in kept and "" in kept
+    assert sum(t in (text[1], text[1] + " end") for t in kept) == sum(t in (text[2], text[2] + " end") for t in kept) == 1
+
+
 def test_near_dedup_of_nothing(spark):
     assert near_dedup.near_groups(empty_docs(spark)).count() == 0
 
