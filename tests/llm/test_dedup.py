@@ -214,6 +214,21 @@ def test_passages_find_planted_repeats(spark):
     assert got[4].start_word == 10 and got[4].end_word == 69 and 0.9 < got[4].similarity < 1.0
 
 
+def test_passages_of_a_hot_passage_over_many_partitions(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{passage} tail{i}") for i in range(300)], "doc_id long, text string")
+    names = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        got = passages.repeated_passages(docs).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: (r.source_id, r.start_word, r.source_start) for r in got} == {i: (0, 0, 0) for i in range(1, 300)}
+
+
 @pytest.mark.parametrize("make", [edge_docs, generated])
 def test_passages_cover_every_exact_repeat(spark, make):
     docs = make(spark)
