@@ -700,13 +700,13 @@ def report_documents(spark, d):
 @query()
 def ingest_pipeline(spark, d):
     a = articles(spark, d).withColumn("id", F.col("doc_id").cast("string"))
-    return ingest.process(a, ingest.Options(lexicon=L, near_duplicates=False)).final.select("id", "content_hash", "word_count", "categories", "importance_score", "quality_label")
+    return ingest.process(a, ingest.Options(lexicon=L)).final.select("id", "content_hash", "word_count", "categories", "importance_score", "quality_label")
 
 
 @query()
 def nlp_features(spark, d):
     docs = articles(spark, d).withColumn("id", F.col("doc_id").cast("string"))
-    return ingest.feature_summary(ingest.nlp(docs, ingest.Options(lexicon=L, nlp_keywords=False)).withColumn("extracted_keywords", F.array().cast("array<string>")))
+    return ingest.feature_summary(ingest.nlp(docs, ingest.Options(lexicon=L)))
 
 
 @query(f"{WITH} SELECT doc_id FROM articles WHERE length(title) > 0 AND length(content) >= 50 AND length(title) >= 5")

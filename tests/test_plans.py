@@ -192,3 +192,13 @@ def test_queries_equal_their_sql(spark, name):
 
 def test_lexicon_is_a_parameter():
     assert LATIN_DEMO.name == "latin_demo"
+
+
+def test_queries_run_near_duplicates_and_keywords(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) between 600 and 3000").orderBy("doc_id").limit(8)
+    near = docs.withColumns({"doc_id": F.col("doc_id") + 1_000_000, "text": F.concat("text", F.lit(" the"))})
+    docs.unionByName(near).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    ids = {int(r.id) for r in queries.QUERIES["ingest_pipeline"](spark, str(tmp_path)).collect()}
+    assert ids and not any(i % 1_000_000 == j % 1_000_000 for i in ids for j in ids if i < j)
+    rows = queries.QUERIES["nlp_features"](spark, str(tmp_path)).collect()
+    assert len(rows) == 16 and all(r.keywords > 0 for r in rows)
