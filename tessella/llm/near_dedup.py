@@ -40,7 +40,7 @@ K = 5
 AGREE = 17
 #: Tables and hashes a table of the second banding, which takes the families that the leaders left in pieces.
 DEEP_TABLES, DEEP_HASHES = 32, 8
-#: Of so many further hashes of the second banding's rows this many agree; at similarity 0.85 fewer do once in 100,000.
+#: Of so many further hashes of the second banding's rows this many agree; at similarity 0.85 fewer do once in 40,000.
 DEEP_SIG, DEEP_AGREE = 192, 142
 #: A table key of the second banding with more rows is dealt out in blocks of about so many, each two of which meet.
 CELL = 2048
