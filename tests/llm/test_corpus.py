@@ -250,6 +250,63 @@ def test_viterbi_is_the_best_path():
         assert tuple(field.decode(x)) == max(product((0, 1), repeat=6), key=score)
 
 
+def best_labels(field, x):
+    """The best labelling by trying all; content wins ties."""
+    from itertools import product
+
+    e = x @ field.emit
+    score = lambda p: sum(e[i, k] for i, k in enumerate(p)) + sum(field.step[a, b] for a, b in zip(p, p[1:], strict=False))
+    top = max(score(p) for p in product((0, 1), repeat=len(x)))
+    return {p for p in product((0, 1), repeat=len(x)) if score(p) > top - 1e-9}
+
+
+def test_retention_equals_brute_force_over_labellings(spark):
+    docs = generated(spark)
+    field = quality_rules.fit_field(docs, generated(spark, "labels"))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    tried = 0
+    for r in quality_rules.quality_rules(docs, field).collect():
+        text = texts[r.doc_id] or ""
+        lines = text.split("\n")
+        if len(lines) > 8:
+            continue
+        tried += 1
+        counts = [len(words(x)) for x in lines]
+        shares = {sum(n for n, k in zip(counts, p, strict=True) if k) / max(sum(counts), 1) for p in best_labels(field, quality_rules.line_features(text.encode())[0])}
+        assert any(abs(r.content_share - s) < 1e-9 for s in shares)
+        assert r.kept == (not r.base_failed and r.content_share >= 0.5) and r.n_lines == len(lines)
+    assert tried > 50
+
+
+def test_lines_of_one_document_get_different_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, lab = generated(spark, sf=sf), generated(spark, "labels", sf)
+    field = quality_rules.fit_field(docs, lab)
+    got = quality_rules.quality_rules(docs, field)
+    assert got.filter("n_content_lines > 0 and n_content_lines < n_lines").count() >= 50
+    prose = "The river runs past the old mill and under the bridge before it meets the sea, and nobody has seen where it ends."
+    junk = "BUY!! NOW!! CHEAP!! BUY!! NOW!! CHEAP!! BUY!! NOW!! CHEAP!! BUY!! NOW!! CHEAP!! BUY!! NOW!! CHEAP!!"
+    text = "\n".join([prose] * 1 + [f"{i}: {prose}" for i in range(6)] + [junk] * 6 + [f"Again {i}: {prose}" for i in range(6)])
+    labels = field.decode(quality_rules.line_features(text.encode())[0])
+    assert labels[:7].all() and not labels[7:13].any() and labels[13:].all()
+
+
+def test_evidence_is_by_line():
+    x, _ = quality_rules.line_features(b"All rights reserved, licensed to all.\nplain words in a line\n\nplain words in a line\n" + b"te " * 30)
+    told = quality_rules.evidence(x, np.array([1, 1, 1, 1, 1]))
+    assert [tuple(np.sign(t)) for t in told] == [(0, -1), (-1, 0), (0, 0), (0, -1), (0, -1)]
+    assert [tuple(np.sign(t)) for t in quality_rules.evidence(x, np.zeros(5))] == [(0, -1), (0, -1), (0, 0), (0, -1), (0, -1)]
+
+
+def test_training_takes_every_line_of_long_documents():
+    x, _ = quality_rules.line_features(b"some words of a line.\n" * 500)
+    told = quality_rules.evidence(x, np.ones(len(x)))
+    late = told.copy()
+    late[400:, 0], late[400:, 1] = 0, -4
+    a, b = (quality_rules.LineField().fit([x], [t], rounds=5) for t in (told, late))
+    assert not np.allclose(a.emit, b.emit)
+
+
 def test_quality_rules_separate_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, lab = generated(spark, sf=sf), generated(spark, "labels", sf)
