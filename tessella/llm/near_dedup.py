@@ -12,8 +12,10 @@ Leaders of runs that touch a partition's border meet in a second, small pass.
 
 Candidates are confirmed on full shingle sets of the whole texts.  Confirmed links are contracted by alternating
 large-star and small-star steps with every round written to the shared folder.  The leader of a run is its hub, the row
-nearest to all others, so copies with different edits meet at their origin.  A follower that missed its leader is then
-tried with the few followers of that leader that are nearest to the leader or to itself, which stays linear.
+nearest to all others, so copies with different edits meet at their origin.  Families whose leader some follower
+missed are banded again on fresh hashes, without leaders; there, rows of two components that share a key and agree in
+nearly as many of 2,048 minhash bits as a similarity of 0.85 gives are candidates, each pair once.  The nearest of each
+row are confirmed first, then what still crosses components.
 
 Defined results: null, empty or blank text has an empty set, links with nothing and keeps itself; fewer words than k
 are one shingle; rows that share an id are one node; ids are integers, a null id is replaced by a hash of its set;
@@ -38,10 +40,14 @@ THRESHOLD = 0.85
 K = 5
 #: Signatures that agree in fewer places than this are not candidates; at similarity 0.85 that happens once in 50,000.
 AGREE = 17
-#: Tables and hashes a table of the second banding, which takes the families that the leaders left in pieces.
-DEEP_TABLES, DEEP_HASHES = 32, 8
-#: Of so many further hashes of the second banding's rows this many agree; at similarity 0.85 fewer do once in 40,000.
-DEEP_SIG, DEEP_AGREE = 192, 142
+#: Tables and hashes a table of the second banding, which takes the families that the leaders left in pieces: a pair of
+#: similarity 0.85 shares none with probability 8e-5.
+DEEP_TABLES, DEEP_HASHES = 20, 6
+#: Bits of the second banding's signatures, each the last bit of a further minhash.  So many agree at least; at similarity
+#: 0.85 fewer do once in 70,000, at 0.76 as many do once in 500.
+DEEP_BITS, DEEP_AGREE = 2048, 1845
+#: Pairs of one node that are confirmed in one block.
+HUB = 256
 #: A table key of the second banding with more rows is dealt out in blocks of about so many, each two of which meet.
 CELL = 2048
 
@@ -50,8 +56,8 @@ _MUL = _R.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint
 _ADD = _R.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _TABLE = mix(np.arange(1, TENSOR * TENSOR + 1, dtype=np.uint64)).reshape(TENSOR, TENSOR)
 _HIGH = np.uint64(32)
-_DEEP_MUL = _R.integers(1, 1 << 63, DEEP_TABLES * DEEP_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_DEEP_ADD = _R.integers(0, 1 << 63, DEEP_TABLES * DEEP_HASHES, dtype=np.uint64)
+_DEEP_MUL = _R.integers(1, 1 << 63, DEEP_TABLES * DEEP_HASHES + DEEP_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_DEEP_ADD = _R.integers(0, 1 << 63, DEEP_TABLES * DEEP_HASHES + DEEP_BITS, dtype=np.uint64)
 _DEEP_TABLE = mix(np.arange(1, DEEP_TABLES + 1, dtype=np.uint64))
 _DEEP_PLACE = mix(np.arange(1, DEEP_HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -219,31 +225,39 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _deep_band(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """node, label, whole to the rows of the second banding."""
+        """node, label, whole to the rows of the second banding: key, table, node, label, the short forms of all keys, bits."""
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
+            for lo in range(0, b.num_rows, 64):
+                part = b.slice(lo, 64)
                 sig = np.stack([minhashes(s, _DEEP_MUL, _DEEP_ADD) for s in shingle_sets(_utf8(part.column(2)), k)])
+                banded = sig[:, : DEEP_TABLES * DEEP_HASHES].astype(np.uint64).reshape(len(sig), DEEP_TABLES, DEEP_HASHES)
                 with np.errstate(over="ignore"):
-                    keys = mix((sig.astype(np.uint64).reshape(len(sig), DEEP_TABLES, DEEP_HASHES) * _DEEP_PLACE).sum(2, dtype=np.uint64) + _DEEP_TABLE).view(np.int64)
-                small = np.repeat((sig[:, :DEEP_SIG] & np.uint32(0xFF)).astype(np.uint8), DEEP_TABLES, axis=0)
+                    keys = mix((banded * _DEEP_PLACE).sum(2, dtype=np.uint64) + _DEEP_TABLE)
+                short = np.repeat((keys >> _HIGH).astype(np.uint32).view(np.uint8).reshape(len(sig), -1), DEEP_TABLES, axis=0)
+                bits = np.repeat(np.packbits((sig[:, DEEP_TABLES * DEEP_HASHES :] & np.uint32(1)).astype(np.uint8), axis=1), DEEP_TABLES, axis=0)
                 node, label = (np.repeat(part.column(i).to_numpy(), DEEP_TABLES) for i in range(2))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node), pa.array(label), _binary(small)], names=["key", "node", "label", "sig"])
+                table = np.tile(np.arange(DEEP_TABLES, dtype=np.int32), len(sig))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(table), pa.array(node), pa.array(label), _binary(short), _binary(bits)], names=["key", "table", "node", "label", "keys", "bits"])
 
     return run
 
 
-def _cell_pairs(n: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every pair of the cell's rows that is in two components and agrees in DEEP_AGREE places: lesser, greater, places."""
+def _cell_pairs(n: np.ndarray, c: np.ndarray, block: np.ndarray, keys: np.ndarray, bits: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a cell's rows that are in two components, agree in DEEP_AGREE bits and meet in no table before this one:
+    lesser, greater, bits that agree.  Where the cell joins two blocks of a key, only pairs across them."""
     a, b, g = [], [], []
+    joins = (block != block[0]).any()
     for lo in range(0, len(n), 64):
         differ = c[lo : lo + 64, None] != c[None]
         differ &= n[lo : lo + 64, None] < n[None]
+        if joins:
+            differ &= block[lo : lo + 64, None] != block[None]
         i, j = np.nonzero(differ)
-        for at in range(0, len(i), 1 << 15):
-            x, y = lo + i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-            agree = (s[x] == s[y]).sum(1)
-            hit = agree >= DEEP_AGREE
+        for at in range(0, len(i), 1 << 14):
+            x, y = lo + i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            agree = DEEP_BITS - np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+            hit = np.flatnonzero(agree >= DEEP_AGREE)
+            hit = hit[~(keys[x[hit], :table] == keys[y[hit], :table]).any(1)]
             a.append(n[x[hit]])
             b.append(n[y[hit]])
             g.append(agree[hit])
@@ -252,7 +266,8 @@ def _cell_pairs(n: np.ndarray, c: np.ndarray, s: np.ndarray) -> tuple[np.ndarray
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, label, sig) sorted by key: all pairs of each whole cell, however many batches it takes."""
+    """Rows (key, table, node, label, block, keys, bits) sorted by key: the pairs of each whole cell, however many batches
+    it takes."""
     held: list = []
 
     def out(cells):
@@ -260,21 +275,21 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["a", "b", "agree"])
 
     def pairs(parts):
-        return _cell_pairs(*(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)))
+        return _cell_pairs(*(np.concatenate([p[i] for p in parts]) for i in range(2, 7)), parts[0][1])
 
     for b in batches:
         if not b.num_rows:
             continue
-        k, n, c = (b.column(i).to_numpy() for i in range(3))
-        s = _bytes_of(b.column(3), DEEP_SIG)
+        k, t, n, c, block = (b.column(i).to_numpy() for i in range(5))
+        keys, bits = _bytes_of(b.column(5), 4 * DEEP_TABLES).view(np.uint32), _bytes_of(b.column(6), DEEP_BITS // 8)
         starts = np.append(0, np.flatnonzero(k[1:] != k[:-1]) + 1)
         done = []
         for lo, hi in zip(starts, np.append(starts[1:], len(k)), strict=True):
             if held and held[0][0] != k[lo]:
-                if sum(len(p[1]) for p in held) > 1:
+                if sum(len(p[2]) for p in held) > 1:
                     done.append(pairs(held))
                 held = []
-            held.append((k[lo], n[lo:hi], c[lo:hi], s[lo:hi]))
+            held.append((k[lo], int(t[lo]), n[lo:hi], c[lo:hi], block[lo:hi], keys[lo:hi], bits[lo:hi]))
         yield out(done)
     if held:
         yield out([pairs(held)])
@@ -307,9 +322,14 @@ def _confirm(threshold_percent: int, k: int):
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, k: int = K, files: int | None = None) -> DataFrame:
-    """a, b, linked, jaccard of each pair, on full sets.  texts: node, whole."""
-    left = pairs.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("whole").alias("text_b")), "b")
-    both = left.join(texts.select(F.col("node").alias("a"), F.col("whole").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    """a, b, linked, jaccard of each pair, on full sets.  texts: node, whole.  A node `a` of many pairs is dealt out in
+    blocks of about HUB of them, each with a copy of its text, so a hub's followers and their texts meet in no one task."""
+    hubs = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > HUB).select("a", F.ceil(F.col("n") / HUB).cast("int").alias("blocks"))
+    dealt = pairs.select("a", "b").join(hubs, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).alias("block"))
+    left = dealt.join(texts.select(F.col("node").alias("b"), F.col("whole").alias("text_b")), "b")
+    heads = texts.select(F.col("node").alias("a"), F.col("whole").alias("text_a")).join(hubs, "a", "left")
+    heads = heads.select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("blocks", F.lit(1)) - 1).cast("long"))).alias("block"))
+    both = left.join(heads, ["a", "block"]).select("a", "b", "text_a", "text_b")
     done = both.mapInArrow(_confirm(round(100 * threshold), k), "a long, b long, linked boolean, jaccard double")
     return staged(done.groupBy("a", "b").agg(F.max("linked").alias("linked"), F.max("jaccard").alias("jaccard")), "links", files=files)
 
@@ -373,8 +393,8 @@ def _groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         near = near.unionByName(deep.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b")).select("a", "b")).dropDuplicates()
         for some in (near, deep.select("a", "b")):
             more = confirm(_across(some.join(tested, ["a", "b"], "left_anti"), label), texts, threshold, k, files)
+            tested = staged(tested.unionByName(more), "tested", files=files)
             if not more.filter("linked").isEmpty():
-                tested = staged(tested.unionByName(more), "tested", files=files)
                 label = components(tested.filter("linked"), files)
 
     label = label.withColumnRenamed("node", "l_node")
@@ -386,20 +406,21 @@ def _groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
 def _deep_pairs(tested: DataFrame, pairs: DataFrame, texts: DataFrame, label: DataFrame, k: int) -> DataFrame:
     """a, b, agree: of the families whose leader some follower missed, all pairs in two components that meet in a table
-    of the second banding and agree there.  The leaders play no part in it."""
+    of the second banding and agree there, each once.  The leaders play no part in it.  A key of many rows is dealt out
+    in blocks of which each two meet."""
     failed = staged(_across(tested.filter("not linked").select("a", "b"), label), "failed")
     heads = failed.select("a").dropDuplicates()
     family = pairs.join(heads, "a", "left_semi").select(F.col("b").alias("node"))
     nodes = family.unionByName(heads.select(F.col("a").alias("node"))).unionByName(failed.select(F.col("b").alias("node"))).dropDuplicates()
     nodes = nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     whole = nodes.join(texts, "node").select("node", "label", "whole")
-    rows = staged(whole.mapInArrow(_deep_band(k), "key long, node long, label long, sig binary"), "deep-rows")
+    rows = staged(whole.mapInArrow(_deep_band(k), "key long, table int, node long, label long, keys binary, bits binary"), "deep-rows")
     hot = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CELL).select("key", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
-    rows = rows.join(hot, "key", "left").withColumn("i", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))))
+    rows = rows.join(hot, "key", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("blocks", F.lit(1)) - 1).cast("long"))))
-    rows = rows.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))).alias("key"), "node", "label", "sig")
+    rows = rows.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("block", "j"), F.greatest("block", "j"))).alias("key"), "table", "node", "label", "block", "keys", "bits")
     found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_cells, "a long, b long, agree long")
-    return staged(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "deep-pairs")
+    return staged(found.dropDuplicates(["a", "b"]), "deep-pairs")
 
 
 def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
