@@ -7,7 +7,8 @@ size is spread over as many partitions as its bytes need.  Groups that cross par
 at most one such group per border exists, so that table is bounded by the number of partitions.
 
 Defined results: null text counts as empty; empty texts form one group; of a group the longest original, then the
-smallest id stays; of identical rows that also share their id exactly one is kept; a null id sorts first.
+smallest id stays; of identical rows that also share their id exactly one is kept; a null id sorts first; extra columns
+of any name stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -114,10 +115,53 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _first_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, id, n, digest, norm) of one sorted partition: the first row of each run of equal texts, whether its run
+    may go on in another partition, and the partition."""
+    part = TaskContext.get().partitionId()
+    names = ["row", "id", "n", "digest", "edge", "part"]
+    text, held, opening = None, None, True  # the run's text; its first row, which waits as the run may be the last
+
+    def out(b, edge):
+        return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(np.full(b.num_rows, edge)), pa.array(np.full(b.num_rows, part, np.int64))], names=names)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        norm = b.column(4)
+        new = np.ones(b.num_rows, bool)
+        new[1:] = ~pc.equal(norm.slice(1), norm.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+        new[0] = held is None or text != norm[0]
+        starts = np.flatnonzero(new)
+        if len(starts):
+            if held is not None:
+                yield out(held, opening)
+                opening = False
+            inner = starts[:-1]
+            if opening and len(inner):
+                yield out(b.take(pa.array(inner[:1])), True)
+                inner, opening = inner[1:], False
+            if len(inner):
+                yield out(b.take(pa.array(inner)), False)
+            held = b.take(pa.array(starts[-1:]))
+        text = norm[b.num_rows - 1]
+    if held is not None:
+        yield out(held, True)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies; every column stays.  Rows that share id and text become one."""
-    groups = exact_groups(docs, id_col, text_col)
-    stay = groups.filter("kept").select(F.col(id_col).alias("_stays"))
-    out = docs.join(stay, docs[id_col].eqNullSafe(stay["_stays"]), "left_semi")
-    repeated = groups.filter(~F.col("kept") & F.col(id_col).eqNullSafe(F.col("keep_id")))
-    return out if repeated.isEmpty() else out.dropDuplicates([id_col, text_col])
+    """docs without the copies; every column stays.  Whole rows go through the sort, so of each group of equal texts
+    exactly one row stays, also where rows share their id or are repeated; nothing is joined by id."""
+    kind = docs.schema[id_col].dataType
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), whole_text(text_col).alias("whole"))
+    norm = without_space(F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")))
+    rows = rows.select("row", "id", F.length("whole").cast("long").alias("n"), without_space(F.col("whole")).alias("norm"))
+    rows = rows.select("row", "id", "n", F.sha2("norm", 256).alias("digest"), F.substring("norm", 1, KEY_CHARS).alias("start"))
+    rows = rows.repartitionByRange("start", "digest", F.desc("n"), F.asc("id"))  # the text travels once; norm is made again behind the exchange
+    rows = rows.withColumn("norm", norm).sortWithinPartitions("start", "digest", "norm", F.desc("n"), F.asc("id"))
+    schema = T.StructType().add("row", docs.schema).add("id", kind).add("n", "long").add("digest", "string").add("edge", "boolean").add("part", "long")
+    heads = staged(rows.select("row", "id", "n", "digest", "norm").mapInArrow(_first_of_runs, schema), "heads")
+    best = heads.filter("edge").groupBy(F.col("digest").alias("b_digest")).agg(F.min(F.struct((-F.col("n")).alias("a"), F.col("id").alias("b"), F.col("part").alias("c"))).alias("best"))
+    # bounded: two rows a partition
+    out = heads.join(F.broadcast(best), F.col("edge") & (F.col("digest") == F.col("b_digest")), "left").filter(~F.col("edge") | (F.col("part") == F.col("best.c")))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -3,14 +3,16 @@
 Each document gets a hash-random key (md5 of its id, so reruns and other engines agree).  Keys are uniform, so equal
 key ranges are even: within each source documents are split by key range, sorted inside each range, and token counts
 are summed to range totals, then to range offsets, then to running sums: a distributed prefix sum in which no task
-holds a whole source.  Each source is cut at its exact budget; a budget above the source's size repeats whole epochs.
+holds a whole source.  The number of ranges follows the number of rows; the result does not depend on it.  Each source
+is cut at its exact budget; a budget above the source's size repeats whole epochs.
 
 Targets: sources in code point order, null last, weigh 3, 1, 2, repeating; together they get `share` of all words; a
 target stops at `most` times its source's words and the excess goes to the others by weight.  That fixed point is
 target = min(cap, level * weight), and the level follows from sorting the sources by cap / weight.
 
 Defined results: null or empty text has size 0 and takes 0; an empty table gives no rows; a source without words has
-target 0; rows with equal id and size are interchangeable; a null id hashes as the empty string.
+target 0; each row counts, also where rows share an id; rows with equal id and size are interchangeable; a row with a
+null id is keyed by its text; extra columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from tessella.llm._shared import WORD, staged, whole_text
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-#: Key ranges per source, as leading hex digits of the key: 3 digits are 4,096 ranges.
-RANGE_DIGITS = 3
+#: Key ranges per source, as leading hex digits of the key: 3 digits are 4,096 ranges; a digit more for each 16-fold
+#: of this many rows.
+RANGE_DIGITS, RANGE_ROWS = 3, 4096 * 10_000
 
 
 def count_words(text: Column) -> Column:
@@ -48,42 +51,56 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return by.select("src", "source_size", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("at") * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken (words, repeats counted), and src."""
-    sizes = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), count_words(whole_text(text_col)).alias("size")), "sizes")
-    goal = targets(sizes, weights, share, most)
-    key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
-    rows = sizes.withColumn("key", key).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    by_range = rows.groupBy("src", "range").agg(F.sum("size").alias("range_size"))
+def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """id, src, size, unnamed (of a null id the md5 of its text) and more."""
+    whole = whole_text(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), count_words(whole).alias("size"), F.when(F.col(id_col).isNull(), F.md5(whole)).alias("unnamed"), *more)
+
+
+def _taken(rows: DataFrame, sizes: DataFrame, weights, share: float, most: int) -> DataFrame:
+    """rows (as measured) with source_size, target, taken.  sizes: the same rows, stored."""
+    goal = targets(sizes, weights, share, most).withColumnRenamed("src", "g_src")
+    digits, many = RANGE_DIGITS, sizes.count()
+    while many > RANGE_ROWS * 16 ** (digits - RANGE_DIGITS):
+        digits += 1
+    key = F.coalesce("unnamed", F.md5(F.col("id").cast("string")))
+    by_range = sizes.groupBy("src", F.substring(key, 1, digits).alias("range")).agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_range.select(F.col("src").alias("o_src"), F.col("range").alias("o_range"), F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("offset"))
+    rows = rows.withColumn("key", key).withColumn("range", F.substring("key", 1, digits))
     inside = Window.partitionBy("src", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(offsets, rows["src"].eqNullSafe(offsets["o_src"]) & (rows["range"] == offsets["o_range"]))
-    goal = goal.withColumnRenamed("src", "g_src")
     rows = rows.join(goal, rows["src"].eqNullSafe(goal["g_src"]))
     budget = F.floor(F.col("target") + 0.5)
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     left = budget - whole * F.col("source_size") - F.col("offset") - F.col("run")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), "src")
-
-
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs as the mix takes them: a document comes as often as it is taken whole; the one that a budget cuts also
-    comes once with its first words only.  Every column stays; n_chars, if there, follows the text.  Rows that share
-    an id count as one document of the mix each and are matched by id and source."""
-    plan = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
-    plan = plan.select(F.col(id_col).alias("m_id"), F.col("src").alias("m_src"), F.col("size").alias("m_size"), F.col("taken").alias("m_taken")).dropDuplicates(["m_id", "m_src", "m_size"])
-    d = docs.withColumn("_size", count_words(whole_text(text_col)))
-    d = d.join(plan, d[id_col].eqNullSafe(plan["m_id"]) & d[source_col].cast("string").eqNullSafe(plan["m_src"]) & (d["_size"] == plan["m_size"]))
-    whole, part = F.floor(F.col("m_taken") / F.col("m_size")).cast("int"), (F.col("m_taken") % F.col("m_size")).cast("int")
+    return rows.withColumn("taken", taken.cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """One row per document: id, size, source_size, target, taken (words, repeats counted), and src."""
+    sizes = staged(_measured(docs, id_col, text_col, source_col), "sizes")
+    return _taken(sizes, sizes, weights, share, most).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "src")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """docs as the mix takes them: a row comes as often as it is taken whole; the one that a budget cuts also comes once
+    with its first words only.  Every column stays; n_chars, if there, follows the text.  Whole rows go through the
+    prefix sums, so each gets its own share and nothing is joined by id."""
+    sizes = staged(_measured(docs, id_col, text_col, source_col), "sizes")
+    rows = _measured(docs, id_col, text_col, source_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = _taken(rows, sizes, weights, share, most).filter("taken > 0")
+    whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    d = d.withColumn("_first", F.explode(copies))
+    rows = rows.select("row", F.explode(copies).alias("first"))
+    text = F.col("row")[text_col]
     # the separators of the text's first n words are those of the text itself
-    words = F.regexp_extract_all(F.col(text_col), F.lit(f"([\\x20\\x09-\\x0D]*{WORD})"), F.lit(1))
-    cut = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("_first"), F.lit(1))), "")
-    out = d.withColumn(text_col, F.when(F.col("_first") > 0, cut).otherwise(F.col(text_col)))
+    words = F.regexp_extract_all(text, F.lit(f"([\\x20\\x09-\\x0D]*{WORD})"), F.lit(1))
+    cut = F.when(F.col("first") > 0, F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("first"), F.lit(1))), "")).otherwise(text)
+    rows = rows.withColumn("cut", cut)
+    put = {text_col: F.col("cut")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_first") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        put["n_chars"] = F.when(F.col("first") > 0, F.length("cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return rows.select(*[put.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
