@@ -17,7 +17,7 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one only in local mode, where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -42,9 +42,14 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None, files: int
     path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
+    gone_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete path when the session's JVM ends."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batches, rows: int = 1000):

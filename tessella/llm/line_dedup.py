@@ -9,8 +9,9 @@ A key is a line without white space at both ends and with A-Z lower-cased; only
 Keys are compared as two independent 64-bit hashes.  The owner is the smallest document that holds a key, so a whole
 table is fed as `BATCHES` ascending id ranges; a stream of later batches keeps the first holder.
 
-Skew: keys of more than 1/1000 of a batch's lines (fewer than 1000 keys by construction) are resolved by a broadcast
-join, so a line held by a third of all documents never meets in one task.
+Skew: keys of more than a partition's share of a batch's lines (of 1/1000 where there are fewer partitions; so there are
+fewer such keys than partitions, or than 1000) are resolved by a broadcast join, so a line held by a third of all
+documents never meets in one task, and no other key has more lines than an average task.
 
 Defined results: null or empty text is one empty line; lines of a document that owns their key all stay; rows that
 share id and text get the same result; a null id is a document of its own that sorts first; extra columns are ignored.
@@ -23,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import SPACE, lower_ascii, staged, whole_text
+from tessella.llm._shared import SPACE, gone_at_exit, lower_ascii, scratch_root, staged, whole_text
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -43,8 +44,10 @@ class LineRuns:
 
     def _write(self, df: DataFrame, what: str) -> str:
         name = f"{self.name}_{what}_{len(self.tables)}"
-        df.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         self.tables.append(name)
+        path = f"{scratch_root(self.spark)}/{self.spark.sparkContext.applicationId}/{name}"
+        df.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        gone_at_exit(self.spark, path)
         return name
 
     def runs(self) -> DataFrame | None:
@@ -109,26 +112,29 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = rows.select("id", F.xxhash64("whole").alias("fp"), F.posexplode(line_keys(F.col("whole"))).alias("pos", "key")).filter("key is not null")
     lines = staged(lines.select("id", "fp", "pos", F.col("key.h1").alias("h1"), F.col("key.h2").alias("h2"), batch.alias("batch")), "lines", "batch")
     runs = LineRuns(spark)
-    lost = []
-    for i in range(len(set(cuts)) + 1):
+    try:
+        return _lost(lines, runs, len(set(cuts)) + 1)
+    finally:
+        runs.drop()
+
+
+def _lost(lines: DataFrame, runs: LineRuns, batches: int) -> DataFrame:
+    out = None
+    for i in range(batches):
         part = lines.filter(F.col("batch") == i)
         holder = F.struct("id")  # a struct, so that a null id is smallest
         first = part.groupBy("h1", "h2").agg(F.min(holder).alias("owner"), F.count("*").alias("holders"), F.max(holder).alias("last"))
         # holders > 0 marks keys with at least two holders in the batch; one holder's repeats do not count
         first = first.select("h1", "h2", "owner", F.when(F.col("owner") == F.col("last"), -F.col("holders")).otherwise(F.col("holders")).alias("holders"))
         found = runs.add(first).filter("holders > 0 or not fresh").withColumn("n", F.abs("holders"))
-        total = part.count()
-        heavy = found.filter(F.col("n") > total / HEAVY_SHARE).select("h1", "h2", "owner")
-        light = found.filter(F.col("n") <= total / HEAVY_SHARE).select("h1", "h2", "owner")
+        most = part.count() / max(HEAVY_SHARE, runs.buckets)
+        heavy = found.filter(F.col("n") > most).select("h1", "h2", "owner")
+        light = found.filter(F.col("n") <= most).select("h1", "h2", "owner")
         loses = F.col("owner") != F.struct("id")
-        lost.append(part.join(F.broadcast(heavy), ["h1", "h2"]).filter(loses).select("id", "fp", "pos"))  # under 1000 keys
-        lost.append(part.join(light, ["h1", "h2"]).filter(loses).select("id", "fp", "pos"))
-    out = lost[0]
-    for x in lost[1:]:
-        out = out.unionByName(x)
-    out = staged(out.dropDuplicates().groupBy("id", "fp").agg(F.collect_list("pos").alias("lost")), "lost")
-    runs.drop()
-    return out
+        for some in (F.broadcast(heavy), light):  # heavy: fewer keys than HEAVY_SHARE or than partitions
+            lost = part.join(some, ["h1", "h2"]).filter(loses).select("id", "fp", "pos")
+            out = lost if out is None else out.unionByName(lost)
+    return staged(out.dropDuplicates().groupBy("id", "fp").agg(F.collect_list("pos").alias("lost")), "lost")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
