@@ -43,7 +43,16 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None, files: int
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     gone_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    spark = table.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def gone_at_exit(spark: SparkSession, path: str) -> None:
