@@ -206,6 +206,28 @@ def test_trees_as_columns_equal_numpy(spark):
     assert np.allclose(got, model.predict(x)) and ((np.array(got) > 0.5) == y).mean() > 0.95
 
 
+def test_pii_by_kind_on_an_unseen_family(spark, pii_model):
+    got = pii.evaluate_pii(spark, pii_model)
+    assert set(got) == {"email", "card", "phone", "account", "identity", "secret"}
+    assert all(p >= 0.9 and r >= 0.85 for p, r in got.values()), got
+    train, calibrate, held = (" ".join(b + s for b, s, _, _ in pii._of_family(900, 3, f)) for f in range(3))
+    assert "MAIN" in train and all(cue not in train + calibrate for cue in ("client_secret", "write to", "(AT)")) and "client_secret" in held
+    assert any(t != 0.5 for t in pii_model.thresholds.values())
+
+
+def test_pii_finds_local_phones_and_bare_keys(spark, pii_model):
+    texts = ["Telefon 030 123 4567 bitte", "export ghp_a8Kd02jfLs93mXqP0aZt7RbNc5Vy1Wu4EoGh now", "dated 01.11.2024 in the file", "mobil 0171/555.3829 abends"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.find_pii(docs, pii_model).collect()}
+    assert got == {0: ["phone"], 1: ["secret"], 2: [], 3: ["phone"]}
+
+
+def test_pii_edge_rows(spark, pii_model):
+    docs = edge_docs(spark)
+    found = pii.redact(pii.find_pii(docs, pii_model)).collect()
+    assert len(found) == docs.count() and {r.redacted for r in found if r.doc_id in (4, 5)} == {""}
+
+
 def test_pii_of_nothing(spark, pii_model):
     assert pii.find_pii(empty_docs(spark), pii_model).count() == 0
 
