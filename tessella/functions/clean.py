@@ -37,10 +37,12 @@ def unescape_all(text: Column) -> Column:
     return run(text)
 
 
-def clean_text(text: Column, lexicon: Lexicon = ZH_FINANCE, all_entities: bool = False, space: str = "\\s+") -> Column:
-    """Unescape, strip tags, collapse white space, drop URLs and e-mail addresses, replace terms in order, trim."""
+def clean_text(text: Column, lexicon: Lexicon = ZH_FINANCE, all_entities: bool = False, space: str = "\\s+", decoded: bool = False) -> Column:
+    """Unescape (unless decoded), strip tags, collapse white space, drop URLs and e-mail addresses, replace terms in
+    order, trim."""
     text = F.coalesce(text, F.lit(""))
-    text = unescape_all(text) if all_entities else unescape(text)
+    if not decoded:
+        text = unescape_all(text) if all_entities else unescape(text)
     for pattern, put in ((TAG, ""), (space, " "), (URL, ""), (EMAIL, "")):
         text = F.regexp_replace(text, pattern, put)
     for old, new in lexicon.replacements:
@@ -54,14 +56,16 @@ def strip_elements(html: Column) -> Column:
     return F.regexp_replace(html, "(?is)<(meta|link)[^>]*>", "")
 
 
-def clean_content(html: Column, lexicon: Lexicon = ZH_FINANCE, keep_lines: bool = True, min_paragraph: int = MIN_PARAGRAPH) -> Column:
+def clean_content(html: Column, lexicon: Lexicon = ZH_FINANCE, keep_lines: bool = True, min_paragraph: int = MIN_PARAGRAPH, all_entities: bool = False) -> Column:
     """Text of an HTML fragment with its short paragraphs dropped.  keep_lines cleans each line as a paragraph; without
     it the whole text is one paragraph, as white space is collapsed first."""
     body = strip_elements(html)
+    if all_entities:
+        body = unescape_all(body)
     if not keep_lines:
-        whole = clean_text(body, lexicon)
+        whole = clean_text(body, lexicon, decoded=all_entities)
         return F.when(F.length(whole) > min_paragraph, whole).otherwise("")
-    lines = F.transform(F.split(body, "\n"), lambda x: clean_text(x, lexicon))
+    lines = F.transform(F.split(body, "\n"), lambda x: clean_text(x, lexicon, decoded=all_entities))
     return F.array_join(F.filter(lines, lambda x: F.length(x) > min_paragraph), "\n")
 
 
@@ -94,12 +98,13 @@ def text_stats(content: Column) -> dict[str, Column]:
     }
 
 
-def clean_documents(df: DataFrame, lexicon: Lexicon = ZH_FINANCE, keep_lines: bool = True) -> DataFrame:
-    """Cleaned title, summary, content, url and times, with hash and counts; other columns stay."""
+def clean_documents(df: DataFrame, lexicon: Lexicon = ZH_FINANCE, keep_lines: bool = True, all_entities: bool = True) -> DataFrame:
+    """Cleaned title, summary, content, url and times, with hash and counts; other columns stay.  Every HTML entity is
+    decoded; all_entities=False knows the six common ones and stays in the JVM."""
     have = set(df.columns)
     out = df.withColumns(
-        {c: clean_text(F.col(c), lexicon) for c in ("title", "summary") if c in have}
-        | {"content": clean_content(F.col("content"), lexicon, keep_lines)}
+        {c: clean_text(F.col(c), lexicon, all_entities) for c in ("title", "summary") if c in have}
+        | {"content": clean_content(F.col("content"), lexicon, keep_lines, all_entities=all_entities)}
         | ({"url": normalize_url(F.col("url"))} if "url" in have else {})
         | {c: parse_timestamp(F.col(c)) for c, t in df.dtypes if c in ("publish_time", "crawl_time") and t == "string"}
     )

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.segment import tokens
+from tessella.functions.segment import words
 from tessella.lexicons import ZH_FINANCE, Lexicon
 
 
@@ -20,13 +20,13 @@ def count_words(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [text.contains(w).cast("int") for w in words]) if words else F.lit(0)
 
 
-def doc_terms(df: DataFrame, id_col: str, text: Column, lexicon: Lexicon = ZH_FINANCE, segmenter=tokens) -> DataFrame:
-    """id, term, pos: the terms that may be keywords."""
-    terms = df.select(F.col(id_col), F.posexplode(segmenter(text)).alias("pos", "term"))
+def doc_terms(df: DataFrame, id_col: str, text: Column, lexicon: Lexicon = ZH_FINANCE, segmenter=None) -> DataFrame:
+    """id, term, pos: the terms that may be keywords, by default the words by the lexicon."""
+    terms = df.select(F.col(id_col), F.posexplode(segmenter(text) if segmenter else words(text, lexicon)).alias("pos", "term"))
     return terms.filter((F.length("term") > 1) & ~F.col("term").isin(lexicon.keyword_stopwords))
 
 
-def top_keywords(df: DataFrame, id_col: str, text: Column, k: int = 10, lexicon: Lexicon = ZH_FINANCE, segmenter=tokens) -> DataFrame:
+def top_keywords(df: DataFrame, id_col: str, text: Column, k: int = 10, lexicon: Lexicon = ZH_FINANCE, segmenter=None) -> DataFrame:
     """id, term, freq, rank: the k commonest terms of each document, ties by first occurrence.  Two-level: terms are
     counted map-side before the shuffle, and only ranks up to k survive the window."""
     counts = doc_terms(df, id_col, text, lexicon, segmenter).groupBy(id_col, "term").agg(F.count("*").alias("freq"), F.min("pos").alias("first"))
@@ -34,9 +34,9 @@ def top_keywords(df: DataFrame, id_col: str, text: Column, k: int = 10, lexicon:
     return counts.withColumn("rank", rank).filter(F.col("rank") <= k).select(id_col, "term", "freq", "rank")
 
 
-def keywords_array(text: Column, k: int = 10, lexicon: Lexicon = ZH_FINANCE, segmenter=tokens) -> Column:
+def keywords_array(text: Column, k: int = 10, lexicon: Lexicon = ZH_FINANCE, segmenter=None) -> Column:
     """The same terms as an array, inside one row, without a shuffle: terms are sorted and their runs counted."""
-    t = F.filter(segmenter(text), lambda x: (F.length(x) > 1) & ~x.isin(lexicon.keyword_stopwords))
+    t = F.filter(segmenter(text) if segmenter else words(text, lexicon), lambda x: (F.length(x) > 1) & ~x.isin(lexicon.keyword_stopwords))
     ordered = F.array_sort(F.transform(t, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<struct<n:int,i:int,w:string>>").alias("out"))
     run = lambda acc: F.when(acc["n"] > 0, F.concat(acc["out"], F.array(F.struct((-acc["n"]).alias("n"), acc["i"].alias("i"), acc["w"].alias("w"))))).otherwise(acc["out"])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.clean import words
 from tessella.functions.features import count_words
+from tessella.functions.segment import let
 from tessella.lexicons import QUALITY_WEIGHTS, ZH_FINANCE, Lexicon
 
 MIN_WORDS, MAX_WORDS, HIGH = 20, 10_000, 0.6
@@ -17,8 +17,23 @@ def _minus(condition: Column, amount: float) -> Column:
     return F.when(condition, F.lit(-amount)).otherwise(F.lit(0.0))
 
 
-def _issues(*pairs) -> Column:
-    return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in pairs]))
+def _words(text: Column) -> Column:
+    """How many words; as an array of them where the words themselves count, use clean.words."""
+    return F.regexp_count(text, F.lit("\\S+"))
+
+
+def _scored(checks: list[tuple[Column, str, float]], more: dict[str, Column], body) -> Column:
+    """body(score, issues, more) with each check and each of more evaluated once a row: without this the planner copies a
+    check into the score, the issues and whatever is made of them."""
+    once = F.struct(F.array(*[F.coalesce(c, F.lit(False)) for c, _, _ in checks]).alias("flags"), *[c.alias(k) for k, c in more.items()])
+
+    def parts(v: Column) -> Column:
+        flag = [F.get(v["flags"], i) for i in range(len(checks))]
+        score = sum((_minus(f, a) for f, (_, _, a) in zip(flag, checks, strict=True)), F.lit(1.0))
+        issues = F.array_compact(F.array(*[F.when(f, F.lit(name)) for f, (_, name, _) in zip(flag, checks, strict=True)]))
+        return body(score, issues, {k: v[k] for k in more})
+
+    return let(once, parts)
 
 
 def _blank(c: Column) -> Column:
@@ -26,52 +41,73 @@ def _blank(c: Column) -> Column:
 
 
 def completeness(title: Column, content: Column, url: Column, source: Column, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> Column:
-    n, t = F.size(words(content)), F.length(title)
-    checks = [(_blank(title), "missing:title", 0.2), (_blank(content), "missing:content", 0.2), (_blank(url), "missing:url", 0.2), (_blank(source), "missing:source", 0.2),
-              (n < min_words, "content:short", 0.3), (n > max_words, "content:long", 0.1), (t < 5, "title:short", 0.2), (t > 200, "title:long", 0.1)]
-    score = sum((_minus(c, a) for c, _, a in checks), F.lit(1.0))
-    return F.struct(F.greatest(F.lit(0.0), score).alias("score"), _issues(*[(c, i) for c, i, _ in checks]).alias("issues"), n.alias("word_count"))
+    t = F.length(title)
+
+    def checked(v: Column) -> Column:
+        n = v["n"]
+        checks = [(_blank(title), "missing:title", 0.2), (_blank(content), "missing:content", 0.2), (_blank(url), "missing:url", 0.2), (_blank(source), "missing:source", 0.2),
+                  (n < min_words, "content:short", 0.3), (n > max_words, "content:long", 0.1), (t < 5, "title:short", 0.2), (t > 200, "title:long", 0.1)]
+        return _scored(checks, {"n": n}, lambda score, issues, m: F.struct(F.greatest(F.lit(0.0), score).alias("score"), issues.alias("issues"), m["n"].alias("word_count")))
+
+    return let(F.struct(_words(content).alias("n")), checked)
 
 
 def content_quality(title: Column, content: Column, lexicon: Lexicon = ZH_FINANCE) -> Column:
     full = F.concat(title, F.lit(" "), content)
-    w = words(full)
-    n = F.size(w)
-    diversity = F.when(n > 0, F.size(F.array_distinct(w)) / n).otherwise(F.lit(0.0))
-    sentences = F.size(F.filter(F.split(content, lexicon.sentence_end), lambda s: F.length(F.trim(s)) > 5))
-    # fixed values: the low-quality patterns
-    checks = [(full.rlike("[!！]{3,}|[?？]{3,}|[.。]{5,}"), "punctuation", 0.15), (full.rlike("[A-Z]{10,}"), "capitals", 0.15), (full.rlike("(.)\\1{5,}"), "repeats", 0.15),
-              ((n > 0) & (F.regexp_count(full, F.lit("[0-9]+")) / F.nullif(n, F.lit(0)) > 0.3), "numbers", 0.2), ((n > 10) & (diversity < 0.3), "monotone", 0.2), (sentences < 2, "sentences", 0.2)]
-    checks = [(F.coalesce(c, F.lit(False)), i, a) for c, i, a in checks]
-    score = sum((_minus(c, a) for c, _, a in checks), F.lit(1.0))
-    empty = F.trim(full) == ""
-    return F.struct(
-        F.when(empty, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), score)).alias("score"), F.when(empty, F.array(F.lit("empty"))).otherwise(_issues(*[(c, i) for c, i, _ in checks])).alias("issues"),
-        diversity.alias("diversity_ratio"), sentences.alias("sentence_count"),
-    )
+    found = F.regexp_extract_all(full, F.lit("\\S+"), F.lit(0))
+    sizes = let(found, lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct")))
+    once = F.struct(sizes.alias("w"), F.size(F.filter(F.split(content, lexicon.sentence_end), lambda s: F.length(F.trim(s)) > 5)).alias("sentences"))
+
+    def checked(v: Column) -> Column:
+        n, sentences = v["w"]["n"], v["sentences"]
+        diversity = F.when(n > 0, v["w"]["distinct"] / n).otherwise(F.lit(0.0))
+        # fixed values: the low-quality patterns
+        checks = [(full.rlike("[!！]{3,}|[?？]{3,}|[.。]{5,}"), "punctuation", 0.15), (full.rlike("[A-Z]{10,}"), "capitals", 0.15), (full.rlike("(.)\\1{5,}"), "repeats", 0.15),
+                  ((n > 0) & (F.regexp_count(full, F.lit("[0-9]+")) / F.nullif(n, F.lit(0)) > 0.3), "numbers", 0.2), ((n > 10) & (diversity < 0.3), "monotone", 0.2), (sentences < 2, "sentences", 0.2)]
+
+        def body(score: Column, issues: Column, m: dict[str, Column]) -> Column:
+            return F.struct(
+                F.when(m["empty"], F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), score)).alias("score"), F.when(m["empty"], F.array(F.lit("empty"))).otherwise(issues).alias("issues"),
+                m["diversity"].alias("diversity_ratio"), m["sentences"].alias("sentence_count"),
+            )
+
+        return _scored(checks, {"empty": F.trim(full) == "", "diversity": diversity, "sentences": sentences}, body)
+
+    return let(once, checked)
 
 
 def information_value(title: Column, content: Column, n_entities: Column, has_time: Column, lexicon: Lexicon = ZH_FINANCE) -> Column:
-    hits = count_words(F.lower(F.concat(title, F.lit(" "), content)), lexicon.value_phrases)
-    numbers = F.regexp_count(content, F.lit("[0-9]+\\.?[0-9]*"))
-    score = 0.5 + F.least(F.lit(0.3), hits * 0.1) + F.least(F.lit(0.2), n_entities * 0.02) + F.when(numbers >= 3, 0.1).otherwise(0.0) + F.when(has_time, 0.1).otherwise(0.0)
-    return F.struct(F.least(F.lit(1.0), score).alias("score"), n_entities.alias("entity_count"), numbers.alias("number_count"), hits.alias("value_phrases"))
+    once = F.struct(
+        let(F.lower(F.concat(title, F.lit(" "), content)), lambda low: count_words(low, lexicon.value_phrases)).alias("hits"),
+        F.regexp_count(content, F.lit("[0-9]+\\.?[0-9]*")).alias("numbers"), n_entities.alias("entities"), has_time.alias("timed"),
+    )
+
+    def body(v: Column) -> Column:
+        score = 0.5 + F.least(F.lit(0.3), v["hits"] * 0.1) + F.least(F.lit(0.2), v["entities"] * 0.02) + F.when(v["numbers"] >= 3, 0.1).otherwise(0.0) + F.when(v["timed"], 0.1).otherwise(0.0)
+        return F.struct(F.least(F.lit(1.0), score).alias("score"), v["entities"].alias("entity_count"), v["numbers"].alias("number_count"), v["hits"].alias("value_phrases"))
+
+    return let(once, body)
 
 
 def spam(title: Column, content: Column, lexicon: Lexicon = ZH_FINANCE) -> Column:
     full = F.concat(title, F.lit(" "), content)
-    raw = sum((_minus(full.rlike("(?i)" + p), 0.3) for p in lexicon.spam_patterns), F.lit(1.0))
-    raw = raw + _minus(F.regexp_count(full, F.lit("https?://\\S+")) > 3, 0.2) + _minus(full.rlike(lexicon.contact_pattern), 0.3)
-    return F.struct(F.greatest(F.lit(0.0), raw).alias("score"), (raw < 0.5).alias("is_spam"))
+    checks = [(full.rlike("(?i)" + p), p, 0.3) for p in lexicon.spam_patterns]
+    checks += [(F.regexp_count(full, F.lit("https?://\\S+")) > 3, "links", 0.2), (full.rlike(lexicon.contact_pattern), "contact", 0.3)]
+    return _scored(checks, {}, lambda raw, issues, m: F.struct(F.greatest(F.lit(0.0), raw).alias("score"), (raw < 0.5).alias("is_spam")))
 
 
 def structure(content: Column, lexicon: Lexicon = ZH_FINANCE) -> Column:
     """May reach 1.1: the bonus for formatted content is not capped."""
-    paragraphs = F.size(F.filter(F.split(content, "\n"), lambda p: F.length(F.trim(p)) > 20))
-    n = F.size(words(content))
-    marks = F.regexp_count(content, F.lit(lexicon.punctuation))
-    score = 1.0 + _minus(paragraphs < 2, 0.2) + _minus((n > 50) & (marks / F.greatest(n, F.lit(1)) < 0.05), 0.2) + F.when(content.contains("\t") | content.contains("    "), 0.1).otherwise(0.0)
-    return F.struct(F.when(F.length(content) == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), score)).alias("score"), paragraphs.alias("paragraph_count"))
+    once = F.struct(
+        F.size(F.filter(F.split(content, "\n"), lambda p: F.length(F.trim(p)) > 20)).alias("paragraphs"), _words(content).alias("n"), F.regexp_count(content, F.lit(lexicon.punctuation)).alias("marks"),
+        (content.contains("\t") | content.contains("    ")).alias("formatted"), (F.length(content) == 0).alias("empty"),
+    )
+
+    def body(v: Column) -> Column:
+        score = 1.0 + _minus(v["paragraphs"] < 2, 0.2) + _minus((v["n"] > 50) & (v["marks"] / F.greatest(v["n"], F.lit(1)) < 0.05), 0.2) + F.when(v["formatted"], 0.1).otherwise(0.0)
+        return F.struct(F.when(v["empty"], F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), score)).alias("score"), v["paragraphs"].alias("paragraph_count"))
+
+    return let(once, body)
 
 
 def overall(parts: dict[str, Column]) -> Column:

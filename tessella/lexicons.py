@@ -182,6 +182,7 @@ class Lexicon:
     report_spam: list = field(default_factory=lambda: REPORT_SPAM)
     topic_pattern: str = "[一-龥]{2,}"
     topic_stopwords: list = field(default_factory=lambda: TOPIC_STOPWORDS)
+    entity_terms: dict = field(default_factory=lambda: ENTITY_TERMS)
 
 
 ZH_FINANCE = Lexicon("zh_finance")
@@ -223,4 +224,5 @@ LATIN_DEMO = Lexicon(
     report_spam=["###", "$$$", "%%%", "***", "&&&", "!!", " | "],
     topic_pattern="[a-z]{7,}",
     topic_stopwords=["thing"],
+    entity_terms={},
 )
