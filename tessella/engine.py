@@ -29,6 +29,13 @@ class Engine:
 
     def ingest(self, docs: DataFrame, **options) -> dict[str, int]:
         result = self.process(docs, **options)
+        result.marked.persist()  # documents, vectors and counts come from it; near duplicates are found once
+        try:
+            return self._store(result)
+        finally:
+            result.marked.unpersist()
+
+    def _store(self, result: ingest.Result) -> dict[str, int]:
         self.documents.upsert(result.final)
         embedded = result.final.select(F.col("id"), vectors.hashed_embedding(F.concat_ws(" ", "title", "content")).cast("array<float>").alias("embedding"), "title", "content", "category", "source", "publish_time", "importance_score")
         self.vectors.upsert(embedded)
@@ -37,8 +44,13 @@ class Engine:
     def search(self, spec: search.SearchSpec, now: datetime) -> DataFrame:
         if spec.mode == "keyword":
             return search.search(self.documents.read(), spec, now, lexicon=self.lexicon)
-        q = self.spark.range(1).select(vectors.hashed_embedding(F.lit(spec.query)).alias("v")).first()[0]
-        return search.search(self.documents.read().join(self.vectors.read().select("id", "embedding"), "id"), spec, now, query_vector=list(q), lexicon=self.lexicon)
+        return search.search(self._with_vectors(), spec, now, query_vector=self._vector(spec.query), lexicon=self.lexicon)
+
+    def _vector(self, text: str) -> list[float]:
+        return list(self.spark.range(1).select(vectors.hashed_embedding(F.lit(text)).alias("v")).first()[0])
+
+    def _with_vectors(self) -> DataFrame:
+        return self.documents.read().join(self.vectors.read().select("id", "embedding"), "id")
 
     def suggest(self, prefix: str, size: int = 5) -> DataFrame:
         return search.suggestions(self.documents.read(), prefix, size)
@@ -50,7 +62,7 @@ class Engine:
         return fulltext.more_like_this(self.documents.read(), "id", doc_id, F.concat_ws(" ", "title", "content"), self.lexicon, k)
 
     def report(self, spec: report.ReportSpec, now: datetime) -> report.Report:
-        return report.generate(self.documents.read(), spec, now, lexicon=self.lexicon)
+        return report.generate(self._with_vectors(), spec, now, lexicon=self.lexicon, query_vector=self._vector(" ".join([spec.topic, *spec.keywords])))
 
     def detect_changes(self, docs: DataFrame, now: Column, full: bool = True) -> DataFrame:
         return self.changes.detect(docs, now, full)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.urls import fallback_hash
 from tessella.operators.tables import latest
 from tessella.operators.vectors import tfidf_terms
+from tessella.session import scratch
 
 THRESHOLD = 0.85
 HASH_DAYS, URL_DAYS = 30, 7
@@ -44,14 +45,14 @@ def similar_pairs(df: DataFrame, id_col: str, text: Column, threshold: float = T
     return x.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).filter(F.col("similarity") >= threshold - 1e-9)
 
 
-def clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, label (the smallest id reachable) by label propagation with pointer jumping; every round is written to
-    spark.checkpoint.dir through checkpoint(), so lineage stays short."""
+def clusters(pairs: DataFrame) -> DataFrame:
+    """node, label (the smallest id reachable) by label propagation with pointer jumping, until nothing changes; every
+    round is written to spark.checkpoint.dir through checkpoint(), so lineage stays short."""
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).dropDuplicates()
     cut = _cut(pairs)
     both = cut(both)
     label = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "node"))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("m")).withColumnRenamed("u", "node")
         new = label.join(near, "node").select("node", F.least("label", "m").alias("label"))
         jump = new.select(F.col("node").alias("label"), F.col("label").alias("next"))
@@ -59,18 +60,12 @@ def clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         if new.join(label.withColumnRenamed("label", "old"), "node").filter("label <> old").isEmpty():
             return new
         label = new
-    return label
 
 
 def _cut(df: DataFrame):
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            import tempfile
-
-            root = tempfile.mkdtemp(prefix="tessella-")  # only where the setting is absent, as in tests
-        spark.sparkContext.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir(scratch(spark))
     return lambda x: x.checkpoint()
 
 

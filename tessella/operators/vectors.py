@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.clean import embedding_text
-from tessella.functions.segment import let, tokens
+from tessella.functions.segment import let, tokens, words
 from tessella.operators.tables import upsert
 
 
@@ -71,9 +71,9 @@ def multi_query(df: DataFrame, id_col: str, vector_col: str, queries: list[list[
 
 
 def batch_top_k(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10, block: int = 256) -> DataFrame:
-    """query_id, id, score for many queries (query_id, query): each task multiplies its block of rows with the query
-    matrix and emits its own top k, so the shuffle carries k rows per query and task.  The query set must fit a task:
-    it is collected, at most `block` * 100 rows."""
+    """query_id, id, score for many queries (query_id, query): each task multiplies its blocks of rows with blocks of the
+    query matrix and emits its own top k by score, then id, so the shuffle carries k rows per query and block and a
+    worker holds `block` x `block` products at a time.  The query set is collected, at most `block` * 100 rows."""
     rows = queries.limit(block * 100 + 1).collect()
     if len(rows) > block * 100:
         raise ValueError("too many queries for one pass; split them")
@@ -87,10 +87,13 @@ def batch_top_k(df: DataFrame, queries: DataFrame, id_col: str, vector_col: str,
                 continue
             v = np.array(b[vector_col].tolist(), float)
             v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            s = q @ v.T
-            n = min(k, s.shape[1])
-            at = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), id_col: b[id_col].to_numpy()[at.ravel()], "score": np.take_along_axis(s, at, 1).ravel()})
+            order = np.argsort(b[id_col].to_numpy(), kind="stable")  # a stable sort by score then keeps ties in id order
+            v, own = v[order], b[id_col].to_numpy()[order]
+            for lo in range(0, len(q), block):
+                s = np.hstack([q[lo : lo + block] @ v[i : i + block].T for i in range(0, len(v), block)])
+                n = min(k, s.shape[1])
+                at = np.argsort(-s, axis=1, kind="stable")[:, :n]
+                yield pd.DataFrame({"query_id": np.repeat(ids[lo : lo + block], n), id_col: own[at.ravel()], "score": np.take_along_axis(s, at, 1).ravel()})
 
     kind = df.schema[id_col].dataType.simpleString()
     parts = df.select(id_col, vector_col).mapInPandas(run, f"query_id {queries.schema[0].dataType.simpleString()}, {id_col} {kind}, score double")
@@ -119,8 +122,9 @@ def unit(v: Column) -> Column:
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """Histogram of hashed tokens, normalised: an embedding that needs no model."""
-    slots = F.transform(tokens(embedding_text(text)), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+    """Histogram of hashed words (the first 8 hex digits of md5, so other engines agree), normalised: an embedding that
+    needs no model."""
+    slots = F.transform(words(embedding_text(text), index=True), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
     counts = let(slots, lambda found: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(found, lambda s: s == i)).cast("double")))
     return let(counts, unit)
 
@@ -134,8 +138,9 @@ def query_embedding(text: str, dim: int = 64) -> list[float]:
     return (v / np.linalg.norm(v)).tolist()
 
 
-def model_embedding(text: Column, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int) -> Column:
-    """Pluggable model: load() runs once per worker; empty texts and failed batches give zero vectors."""
+def model_embedding(text: Column, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int, failures=None) -> Column:
+    """Pluggable model: load() runs once per worker; empty texts give zero vectors.  A failed batch ends the job, unless
+    failures, an accumulator of sparkContext.accumulator(0), is given: then its texts get zero vectors and are counted."""
     from collections.abc import Iterator
 
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -148,8 +153,10 @@ def model_embedding(text: Column, load: Callable[[], Callable[[list[str]], np.nd
                 try:
                     got = np.asarray(encode(s.iloc[full].tolist()))[:, :dim]
                     out[full, : got.shape[1]] = got
-                except Exception:  # noqa: BLE001  a failed batch must not end the job
-                    pass
+                except Exception:  # noqa: BLE001  counted, where the caller asked for that
+                    if failures is None:
+                        raise
+                    failures.add(len(full))
             yield pd.Series(list(out))
 
     run.__annotations__ = {"it": Iterator[pd.Series], "return": Iterator[pd.Series]}
@@ -176,6 +183,17 @@ def tfidf_vectors(df: DataFrame, id_col: str, text: Column, dim: int = 64, min_d
     return model.transform(base).select(id_col, "tfidf"), model
 
 
+def tfidf_embedding(df: DataFrame, id_col: str, text: Column, dim: int = 64, features: int = 512, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
+    """id, embedding: the sparse vectors of tfidf_vectors() over `features` grams, reduced to `dim` principal
+    components; fewer where there are fewer grams."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+
+    sparse, model = tfidf_vectors(df, id_col, text, features, min_df, max_df)
+    k = min(dim, len(model.stages[2].vocabulary))
+    return PCA(k=k, inputCol="tfidf", outputCol="e").fit(sparse).transform(sparse).select(id_col, vector_to_array("e").alias("embedding"))
+
+
 def tfidf_terms(df: DataFrame, id_col: str, text: Column, features: int = 1000, bigrams: bool = True) -> DataFrame:
     """id, term, weight: smooth idf ln((1 + n) / (1 + df)) + 1, rows of unit length, over the commonest terms of at
     least two characters."""

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import classify, clean, entities, features, quality, sentiment
@@ -28,7 +28,7 @@ class Options:
     nlp_classification: bool = True
     nlp_keywords: bool = True
     id_col: str = "id"
-    extra_stages: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
+    extra_stages: list[Callable[[DataFrame], DataFrame] | str] = field(default_factory=list)
 
 
 @dataclass
@@ -37,6 +37,7 @@ class Result:
     duplicates: DataFrame
     low_quality: DataFrame
     assessed: DataFrame
+    marked: DataFrame
 
     def counts(self) -> dict[str, int]:
         """One job over the assessed rows and one over the duplicates."""
@@ -49,7 +50,7 @@ STAGES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
 def register_stage(name: str, stage: Callable[[DataFrame], DataFrame]) -> None:
-    """A user stage by name, for Options.extra_stages or SQL-free pipelines."""
+    """A user stage by name, for Options.extra_stages."""
     STAGES[name] = stage
 
 
@@ -59,7 +60,7 @@ def process(docs: DataFrame, options: Options | None = None) -> Result:
     cleaned = clean.clean_documents(docs, o.lexicon, o.keep_lines)
     rich = features.extract_features(cleaned, o.lexicon)
     for stage in o.extra_stages:
-        rich = stage(rich)
+        rich = (STAGES[stage] if isinstance(stage, str) else stage)(rich)
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
     if o.near_duplicates:
         marked = dedup.deduplicate(rich, o.id_col, text, "content_hash", o.threshold)
@@ -68,7 +69,7 @@ def process(docs: DataFrame, options: Options | None = None) -> Result:
     unique = marked.filter("dup_kind is null").drop("dup_kind", "dup_of")
     assessed = quality.assess(unique, o.lexicon, o.quality_threshold)
     final = quality.high_quality(assessed) if o.filter_quality else assessed
-    return Result(final, marked.filter("dup_kind is not null"), quality.low_quality(assessed), assessed)
+    return Result(final, marked.filter("dup_kind is not null"), quality.low_quality(assessed), assessed, marked)
 
 
 def nlp(docs: DataFrame, options: Options | None = None) -> DataFrame:
@@ -97,6 +98,14 @@ def nlp_summary(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("documents"), F.avg(F.size("recognized_entities")).alias("avg_entities"), F.avg(F.size("extracted_keywords")).alias("avg_keywords"), F.avg("sentiment_analysis.overall").alias("avg_sentiment"))
 
 
+def nlp_distributions(docs: DataFrame) -> DataFrame:
+    """kind, value, n, percentage: sentiment labels, news types, industries and importance levels, in one pass."""
+    kinds = {"sentiment": "sentiment_analysis.financial.adjusted_label", "news_type": "news_type.category", "industry": "industry.category", "importance_level": "importance_level.category"}
+    long = docs.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in kinds.items()])).alias("e")).select("e.*")
+    counts = long.groupBy("kind", "value").agg(F.count("*").alias("n"))
+    return counts.withColumn("percentage", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("kind")))  # one row per value
+
+
 def feature_summary(docs: DataFrame, id_col: str = "id") -> DataFrame:
     return docs.select(
         id_col, F.size("extracted_keywords").alias("keywords"), F.size("recognized_entities").alias("entities"), F.map_keys("grouped_entities").alias("entity_types"),

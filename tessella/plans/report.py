@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import classify, display, sentiment
 from tessella.lexicons import ZH_FINANCE, Lexicon
-from tessella.operators import aggregates, filters, graph, tables
+from tessella.operators import aggregates, filters, graph, tables, vectors
 from tessella.plans.search import score_keyword
 
 
@@ -42,17 +42,21 @@ class Report:
     summary: str
 
 
-def collect_documents(df: DataFrame, spec: ReportSpec, now: datetime, id_col: str = "id", time_col: str = "publish_time", lexicon: Lexicon = ZH_FINANCE, cap: int = 200) -> DataFrame:
-    """The `cap` most relevant documents of the topic inside the time range and sources, with relevance."""
+def collect_documents(df: DataFrame, spec: ReportSpec, now: datetime, id_col: str = "id", time_col: str = "publish_time", lexicon: Lexicon = ZH_FINANCE, cap: int = 200, query_vector: list[float] | None = None, vector_col: str = "embedding") -> DataFrame:
+    """The `cap` most relevant documents of the topic inside the time range and sources, with relevance: hits by words
+    and, given a query vector, the `cap` nearest by vector; a document that both find keeps the better score."""
     where = F.col(time_col).between(F.lit(now - timedelta(days=spec.days)), F.lit(now))
     if spec.sources:
         where = where & F.col("source").isin(list(spec.sources))
     base = df.filter(where)
-    hits = score_keyword(base, " ".join([spec.topic, *spec.keywords]), id_col, lexicon)
-    found = base.join(hits.withColumnRenamed("score", "_score"), id_col)
+    hits = score_keyword(df, " ".join([spec.topic, *spec.keywords]), id_col, lexicon, where).select(id_col, display.normalized_score(F.col("score")).alias("_score"))
+    if query_vector is not None:
+        near = vectors.top_k(base, id_col, vector_col, query_vector, cap, cap=cap).select(id_col, F.col("score").alias("_score"))
+        hits = hits.unionByName(near).groupBy(id_col).agg(F.max("_score").alias("_score"))
+    found = base.join(hits, id_col)
     found = tables.latest(found.withColumn("_h", F.md5(F.concat("content", "title"))), "_h", F.asc(id_col)).drop("_h")
     found = found.filter(filters.report_quality(F.col("title"), F.col("content"), lexicon))
-    r = display.relevance(F.col("title"), F.col("content"), spec.topic, list(spec.keywords), display.normalized_score(F.col("_score")), F.col(time_col), F.lit(now))
+    r = display.relevance(F.col("title"), F.col("content"), spec.topic, list(spec.keywords), F.col("_score"), F.col(time_col), F.lit(now))
     return found.withColumn("relevance", r).drop("_score").orderBy(F.desc(F.round("relevance", 9)), id_col).limit(cap)
 
 
@@ -92,9 +96,9 @@ def summary_text(topic: str, days: int, n_docs: int, avg_sentiment: float | None
     return " ".join(parts)
 
 
-def generate(df: DataFrame, spec: ReportSpec, now: datetime, id_col: str = "id", time_col: str = "publish_time", lexicon: Lexicon = ZH_FINANCE, head: int = 100) -> Report:
+def generate(df: DataFrame, spec: ReportSpec, now: datetime, id_col: str = "id", time_col: str = "publish_time", lexicon: Lexicon = ZH_FINANCE, head: int = 100, query_vector: list[float] | None = None) -> Report:
     """All parts over one collected set of at most 200 documents."""
-    docs = collect_documents(df, spec, now, id_col, time_col, lexicon).cache()
+    docs = collect_documents(df, spec, now, id_col, time_col, lexicon, query_vector=query_vector).cache()
     text = F.concat("title", F.lit(" "), "content")
     n = docs.count()
     first = docs.orderBy(F.desc("relevance"), id_col).limit(head)

@@ -44,16 +44,18 @@ def _c(df: DataFrame, name: str, default: str = "") -> Column:
     return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
 
 
-def score_keyword(df: DataFrame, query: str, id_col: str = "id", lexicon: Lexicon = ZH_FINANCE) -> DataFrame:
+def score_keyword(df: DataFrame, query: str, id_col: str = "id", lexicon: Lexicon = ZH_FINANCE, where: Column | None = None) -> DataFrame:
     """id, score: title x 3, summary x 2, content x 1, any query word in keywords + 2.5, an entity equal to the query
-    + 2.  A document that matches no clause is out."""
-    score = fulltext.multi_field(df, id_col, {"title": (_c(df, "title"), 3.0), "content": (_c(df, "content"), 1.0), "summary": (_c(df, "summary"), 2.0)}, query, lexicon)
+    + 2.  A document that matches no clause is out.  where restricts the hits, not the statistics of the index."""
+    score = fulltext.multi_field(df, id_col, {"title": (_c(df, "title"), 3.0), "content": (_c(df, "content"), 1.0), "summary": (_c(df, "summary"), 2.0)}, query, lexicon, where=where)
     extra = F.lit(0.0)
     if "keywords" in df.columns:
         extra = extra + F.when(F.coalesce(F.arrays_overlap("keywords", F.array(*[F.lit(w) for w in query.split()])), F.lit(False)), 2.5).otherwise(0.0)
     if "entities" in df.columns:
         extra = extra + F.when(F.coalesce(F.exists("entities", lambda e: e["text"] == query), F.lit(False)), 2.0).otherwise(0.0)
-    more = df.select(F.col(id_col), extra.alias("_x")).filter("_x > 0")
+    if not {"keywords", "entities"} & set(df.columns):
+        return score.filter("score > 0")
+    more = (df if where is None else df.filter(where)).select(F.col(id_col), extra.alias("_x")).filter("_x > 0")
     both = score.join(more, id_col, "full_outer")
     return both.select(id_col, (F.coalesce("score", F.lit(0.0)) + F.coalesce("_x", F.lit(0.0))).alias("score")).filter("score > 0")
 
@@ -68,17 +70,18 @@ def _order(df: DataFrame, sort: str, id_col: str, time_col: str) -> list[Column]
 
 def search(df: DataFrame, spec: SearchSpec, now: datetime, id_col: str = "id", time_col: str = "publish_time", vector_col: str = "embedding", query_vector: list[float] | None = None, lexicon: Lexicon = ZH_FINANCE) -> DataFrame:
     """A page of hits: the columns of df without content and vector, score, relevance, snippet and highlights."""
-    base = df.filter(filters.search_filter(spec.filters, now, time_col)) if spec.filters else df
+    where = filters.search_filter(spec.filters, now, time_col) if spec.filters else None
+    base = df if where is None else df.filter(where)
     pool = spec.page * spec.page_size * 2
     if spec.mode == "keyword":
-        hits = score_keyword(base, spec.query, id_col, lexicon)
+        hits = score_keyword(df, spec.query, id_col, lexicon, where)
     else:
         q = query_vector or vectors.query_embedding(spec.query)
         near = vectors.top_k(base, id_col, vector_col, q, pool, spec.threshold, cap=pool)
         if spec.mode == "semantic":
             hits = near
         else:
-            words = score_keyword(base, spec.query, id_col, lexicon).withColumn("score", normalized_score(F.col("score")))
+            words = score_keyword(df, spec.query, id_col, lexicon, where).withColumn("score", normalized_score(F.col("score")))
             merged = tables.merge_hits(tables.ranked(near, "score", id_col, pool), tables.ranked(words, "score", id_col, pool), id_col, vector_weight=0.4, keyword_weight=0.6)
             hits = merged.select(id_col, "score", "search_sources")
     found = base.join(hits, id_col)
@@ -104,22 +107,22 @@ def advanced_search(df: DataFrame, params: dict[str, Any], now: datetime, id_col
     """id, score: every given clause must hold (query over all fields by the best one, title_query x 2, content_query,
     phrase), exclude words must not occur; no clause, no result."""
     title, content = _c(df, "title"), _c(df, "content")
-    base = df.filter(filters.search_filter(params.get("filters", {}), now)) if params.get("filters") else df
+    where = filters.search_filter(params.get("filters") or {}, now)  # of the hits; statistics are of the whole index
     if params.get("exclude_words"):
-        base = base.filter(filters.excludes(params["exclude_words"], title, content))
+        where = where & filters.excludes(params["exclude_words"], title, content)
     if params.get("phrase"):
-        base = base.filter(filters.phrase(params["phrase"], title, content))
+        where = where & filters.phrase(params["phrase"], title, content)
     scores = []
     if params.get("query"):
-        scores.append(fulltext.multi_field(base, id_col, {"title": (title, 3.0), "content": (content, 1.0), "summary": (_c(df, "summary"), 2.0)}, params["query"], lexicon, mode="best", fuzzy=params.get("fuzzy", False)))
+        scores.append(fulltext.multi_field(df, id_col, {"title": (title, 3.0), "content": (content, 1.0), "summary": (_c(df, "summary"), 2.0)}, params["query"], lexicon, mode="best", fuzzy=params.get("fuzzy", False), where=where))
     if params.get("title_query"):
-        scores.append(fulltext.multi_field(base, id_col, {"title": (title, 2.0)}, params["title_query"], lexicon))
+        scores.append(fulltext.multi_field(df, id_col, {"title": (title, 2.0)}, params["title_query"], lexicon, where=where))
     if params.get("content_query"):
-        scores.append(fulltext.multi_field(base, id_col, {"content": (content, 1.0)}, params["content_query"], lexicon))
+        scores.append(fulltext.multi_field(df, id_col, {"content": (content, 1.0)}, params["content_query"], lexicon, where=where))
     if not scores:
         if not params.get("phrase"):
             return df.select(F.col(id_col), F.lit(0.0).alias("score")).limit(0)
-        scores.append(base.select(F.col(id_col), F.lit(1.0).alias("score")))
+        scores.append(df.filter(where).select(F.col(id_col), F.lit(1.0).alias("score")))
     out = scores[0].filter("score > 0")
     for s in scores[1:]:
         out = out.join(s.filter("score > 0").withColumnRenamed("score", "_s"), id_col).select(id_col, (F.col("score") + F.col("_s")).alias("score"))

@@ -121,10 +121,10 @@ def page_links(spark, d):
 
 @query(r"""SELECT page_id, coalesce(nullif(regexp_extract(url, 'id=(\d+)', 1), ''), nullif(regexp_extract(url, '/(\d+)\.', 1), ''), nullif(regexp_extract(url, '/(\d+)/', 1), ''), '') AS item,
     coalesce(regexp_matches(lower(url), '/news/|/finance/|/stock/|/money/|/business/') AND NOT regexp_matches(lower(url), '/video/|/photo/|/gallery/|/live/|/comment/|/user/|/login|/register|\.(jpg|jpeg|png|gif|pdf|doc|docx|xls|xlsx)$'), false) AS news,
-    md5(url || substring(html, 1, 20)) AS key FROM pages""")
+    md5(url || html) AS key FROM pages""")
 def url_fields(spark, d):
     p, u = load(spark, d, "pages"), F.col("url")
-    return p.select("page_id", urls.announcement_id_in_url(u).alias("item"), filters.news_url(u).alias("news"), urls.item_id(u, F.substring("html", 1, 20)).alias("key"))
+    return p.select("page_id", urls.announcement_id_in_url(u).alias("item"), filters.news_url(u).alias("news"), urls.item_id(u, F.col("html")).alias("key"))
 
 
 # duplicates ---------------------------------------------------------------------------------------------------------
@@ -154,7 +154,8 @@ def near_dup_pairs(spark, d):
     return dedup.similar_pairs(load(spark, d, "documents"), "doc_id", F.col("text")).select("a", "b", r(F.col("similarity"), 3).alias("similarity"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TFIDF}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.weight * b.weight) AS s FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING s >= 0.85 - 1e-9),
+    e AS (SELECT a AS u, b AS w FROM p UNION SELECT b, a FROM p), reach AS (SELECT u AS node, u AS m FROM e UNION SELECT r.node, e.w FROM reach r JOIN e ON e.u = r.m) SELECT node, min(m) AS label FROM reach GROUP BY node""")
 def near_dup_clusters(spark, d):
     return dedup.clusters(dedup.similar_pairs(load(spark, d, "documents"), "doc_id", F.col("text")))
 
@@ -427,14 +428,22 @@ def multi_field_search(spark, d):
     return s.select("doc_id", r(F.col("score")).alias("score"))
 
 
-@query()
+_BOTH = f"{_bm25_sql('title', ['license', 'that'], 't', 'articles')}, {_bm25_sql('content', ['license', 'that'], 'c', 'articles')}"
+
+
+@query(f"""{WITH}, {_BOTH}, {_bm25_sql('content', ['version'], 'v', 'articles')}, q AS (SELECT doc_id, greatest(coalesce(t.score, 0) * 3, coalesce(c.score, 0)) AS s FROM t FULL JOIN c USING (doc_id))
+    SELECT doc_id, {_r('q.s + v.score')} AS score FROM q JOIN v USING (doc_id) JOIN articles USING (doc_id) WHERE q.s > 0 AND v.score > 0 AND NOT contains(lower(title), 'scum') AND NOT contains(lower(content), 'scum') ORDER BY round(q.s + v.score, 6) DESC, doc_id LIMIT 50""")
 def advanced_search(spark, d):
-    return search.advanced_search(articles(spark, d), {"query": "license that", "content_query": "version", "exclude_words": ["scum"]}, NOW, "doc_id", L, 50)
+    s = search.advanced_search(articles(spark, d), {"query": "license that", "content_query": "version", "exclude_words": ["scum"]}, NOW, "doc_id", L, 50)
+    return s.select("doc_id", r(F.col("score")).alias("score"))
 
 
-@query()
+@query(f"""WITH a AS (SELECT doc_id, {_analyzed('text')} AS t FROM documents), own AS (SELECT term, count(*) AS tf FROM (SELECT unnest(t) AS term FROM a WHERE doc_id = 1) GROUP BY ALL), n AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM a),
+    df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM a) JOIN own USING (term) GROUP BY ALL), w AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, tf * ln(1 + (n - df + 0.5) / (df + 0.5)) AS weight FROM own JOIN df USING (term), n),
+    best AS (SELECT * FROM w ORDER BY round(weight, 6) DESC, term LIMIT 12), x AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM a) WHERE term IN (SELECT term FROM best) GROUP BY ALL),
+    s AS (SELECT doc_id, sum(idf * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM x JOIN best USING (term), n WHERE doc_id <> 1 GROUP BY doc_id) SELECT doc_id, {_r('score')} AS score FROM s ORDER BY round(score, 6) DESC, doc_id LIMIT 20""")
 def more_like_this(spark, d):
-    return fulltext.more_like_this(load(spark, d, "documents"), "doc_id", 1, F.col("text"), L, 20)
+    return fulltext.more_like_this(load(spark, d, "documents"), "doc_id", 1, F.col("text"), L, 20).select("doc_id", r(F.col("score")).alias("score"))
 
 
 @query(f"""WITH w AS (SELECT DISTINCT doc_id, unnest({_analyzed('text')}) AS term FROM documents), f AS (SELECT term, count(*) AS df FROM w GROUP BY ALL)
@@ -448,16 +457,17 @@ def trending(spark, d):
     return fulltext.trending(load(spark, d, "events"), "event_type")
 
 
-@query()
+@query(f"""{WITH}, {_BOTH}, s AS (SELECT doc_id, coalesce(t.score, 0) * 3 + coalesce(c.score, 0) AS score FROM t FULL JOIN c USING (doc_id)) SELECT doc_id, title, {_r('score')} AS score, {_r('least(score / 10, 1.0)')} AS relevance,
+    CASE WHEN length(content) > 500 THEN substring(content, 1, 500) || '...' ELSE content END AS snippet FROM s JOIN articles USING (doc_id) WHERE category = 'en' AND score > 0 ORDER BY s.score DESC, publish_time DESC, doc_id LIMIT 20""")
 def keyword_page(spark, d):
     spec = search.SearchSpec("license that", page_size=20, filters={"category": "en"})
-    return search.search(articles(spark, d), spec, NOW, "doc_id", lexicon=L).select("doc_id", "title", "score", "relevance", "snippet")
+    return search.search(articles(spark, d), spec, NOW, "doc_id", lexicon=L).select("doc_id", "title", r(F.col("score")).alias("score"), r(F.col("relevance")).alias("relevance"), "snippet")
 
 
-@query(f"{WITH} SELECT doc_id, {_r('least((2 * (length(lower(title)) - length(replace(lower(title), ' + _q('license') + ', ' + _q('') + '))) / 7 + (length(lower(content)) - length(replace(lower(content), ' + _q('license') + ', ' + _q('') + '))) / 7 + 2 * (length(lower(title)) - length(replace(lower(title), ' + _q('that') + ', ' + _q('') + '))) / 4 + (length(lower(content)) - length(replace(lower(content), ' + _q('that') + ', ' + _q('') + '))) / 4) / 6.0, 1.0)')} AS score, regexp_replace(substring(title, 1, 60), '(that|with)', '<mark>\\1</mark>', 'gi') AS marked, CASE WHEN length(content) > 200 THEN substring(content, 1, 200) || '...' ELSE content END AS snippet FROM articles")
+@query(f"{WITH} SELECT doc_id, {_r('least((2 * (length(lower(title)) - length(replace(lower(title), ' + _q('license') + ', ' + _q('') + '))) / 7 + (length(lower(content)) - length(replace(lower(content), ' + _q('license') + ', ' + _q('') + '))) / 7 + 2 * (length(lower(title)) - length(replace(lower(title), ' + _q('that') + ', ' + _q('') + '))) / 4 + (length(lower(content)) - length(replace(lower(content), ' + _q('that') + ', ' + _q('') + '))) / 4) / 6.0, 1.0)')} AS score, regexp_replace(title, '(that|with)', '<mark>\\1</mark>', 'gi') AS marked, CASE WHEN length(content) > 200 THEN substring(content, 1, 200) || '...' ELSE content END AS snippet FROM articles")
 def keyword_scores(spark, d):
     a = articles(spark, d)
-    return a.select("doc_id", r(display.keyword_score(F.col("title"), F.col("content"), ["license", "that"])).alias("score"), display.mark(F.substring("title", 1, 60), ["that", "with"]).alias("marked"), display.snippet(F.col("content"), 200).alias("snippet"))
+    return a.select("doc_id", r(display.keyword_score(F.col("title"), F.col("content"), ["license", "that"])).alias("score"), display.mark(F.col("title"), ["that", "with"]).alias("marked"), display.snippet(F.col("content"), 200).alias("snippet"))
 
 
 # vectors ------------------------------------------------------------------------------------------------------------
@@ -492,11 +502,15 @@ def batch_vectors(spark, d):
     return vectors.batch_top_k(e, q, "vec_id", "embedding", 5).withColumn("score", r(F.col("score")))
 
 
-@query()
+@query(f"""{WITH}, b AS (SELECT a.doc_id, a.title, a.content, {_COS} AS s FROM articles a JOIN embeddings e ON e.vec_id = a.doc_id, embeddings q WHERE q.vec_id = 3), v AS (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM b QUALIFY rank <= 40),
+    o AS (SELECT doc_id, least((2 * (length(title) - length(replace(lower(title), 'license', ''))) / 7 + (length(content) - length(replace(lower(content), 'license', ''))) / 7) / 3.0, 1.0) AS s FROM v), k AS (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM o WHERE s > 0),
+    m AS (SELECT doc_id, v.s AS vs, coalesce(k.s, 0.0) AS ks, v.rank AS vector_rank, coalesce(k.rank, (SELECT count(*) FROM k) + 1) AS keyword_rank, CASE WHEN k.s IS NULL THEN 'semantic' ELSE 'keyword,semantic' END AS sources FROM v LEFT JOIN k USING (doc_id))
+    SELECT doc_id, {_r('vs')} AS vector_score, {_r('ks')} AS keyword_score, vector_rank, keyword_rank, {_r('vs * 0.7 + ks * 0.3')} AS score, sources FROM m ORDER BY vs * 0.7 + ks * 0.3 DESC, doc_id LIMIT 20""")
 def hybrid_search(spark, d):
     e = load(spark, d, "embeddings")
     both = articles(spark, d).join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    return search.hybrid_search(both, vectors.vector_of(e, "vec_id", "embedding", 3), "license that", 20, lexicon=L, id_col="doc_id")
+    h = search.hybrid_search(both, vectors.vector_of(e, "vec_id", "embedding", 3), "license that", 20, lexicon=L, id_col="doc_id")
+    return h.select("doc_id", *[r(F.col(c)).alias(c) for c in ("vector_score", "keyword_score", "score")], *[F.col(c).cast("long").alias(c) for c in ("vector_rank", "keyword_rank")], F.array_join("search_sources", ",").alias("sources"))
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE label >= 2 AND label <= 5 ORDER BY label DESC, vec_id LIMIT 25")
@@ -510,9 +524,12 @@ def tfidf_vectors(spark, d):
     return v.groupBy("doc_id").agg(F.count("*").alias("terms"), r(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), r(F.max("weight"), 3).alias("top"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT doc_id, {TOKENS.format("substring(trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')), 1, 512)")} AS w FROM documents), t AS (SELECT doc_id, ('0x' || substring(md5(t), 1, 8))::BIGINT % 16 AS slot FROM (SELECT doc_id, unnest(w) AS t FROM e)),
+    g AS (SELECT doc_id, slot, count(*) AS n FROM t GROUP BY ALL), s AS (SELECT doc_id, unnest(range(16)) AS slot FROM documents), z AS (SELECT doc_id, slot, coalesce(n, 0) AS n FROM s LEFT JOIN g USING (doc_id, slot))
+    SELECT doc_id, CAST(slot AS INTEGER) AS slot, coalesce({_r('n / nullif(sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 0)')}, 0.0) AS weight FROM z""")
 def hashed_embeddings(spark, d):
-    return load(spark, d, "documents").select("doc_id", vectors.hashed_embedding(F.col("text"), 16).alias("embedding"))
+    e = load(spark, d, "documents").select("doc_id", F.posexplode(vectors.hashed_embedding(F.col("text"), 16)).alias("slot", "weight"))
+    return e.withColumn("weight", r(F.col("weight")))
 
 
 # changes ------------------------------------------------------------------------------------------------------------
@@ -692,9 +709,13 @@ def topic_report(spark, d):
     return report.generate(articles(spark, d), spec, NOW, "doc_id", lexicon=L).trend
 
 
-@query()
+@query(f"""{WITH}, {_bm25_sql('title', ['license', 'version'], 't', 'articles')}, {_bm25_sql('content', ['license', 'version'], 'c', 'articles')}, s AS (SELECT doc_id, least((coalesce(t.score, 0) * 3 + coalesce(c.score, 0)) / 10, 1.0) AS s FROM t FULL JOIN c USING (doc_id)),
+    f AS (SELECT a.*, s, lower(title) AS lt, lower(title) || ' ' || lower(content) AS x, row_number() OVER (PARTITION BY md5(content || title) ORDER BY doc_id) AS rn FROM articles a JOIN s USING (doc_id) WHERE s > 0 AND publish_time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31'),
+    g AS (SELECT doc_id, title, CASE WHEN contains(x, 'license') THEN 3.0 ELSE 0.0 END + 1.5 * (length(x) - length(replace(x, 'version', ''))) / 7 + CASE WHEN contains(lt, 'version') THEN 2.0 ELSE 0.0 END + 0.5 * s + 0.5 * greatest(0.0, 1.0 - floor(epoch(TIMESTAMP '2024-01-31' - publish_time) / 86400) / 30.0) AS relevance
+          FROM f WHERE rn = 1 AND NOT (length(title) < 10 AND length(content) < 50) AND (trim(title) <> '' OR trim(content) <> '') AND NOT {_count('x', L.report_spam)} >= 3) SELECT doc_id, title, {_r('relevance')} AS relevance FROM g ORDER BY round(relevance, 9) DESC, doc_id LIMIT 200""")
 def report_documents(spark, d):
-    return report.collect_documents(articles(spark, d), report.ReportSpec("license", ("version",), 30), NOW, "doc_id", lexicon=L).select("doc_id", "title", "relevance")
+    found = report.collect_documents(articles(spark, d), report.ReportSpec("license", ("version",), 30), NOW, "doc_id", lexicon=L)
+    return found.select("doc_id", "title", r(F.col("relevance")).alias("relevance"))
 
 
 @query()
@@ -730,10 +751,10 @@ def relevance_scores(spark, d):
     return a.select("doc_id", r(s).alias("relevance"))
 
 
-@query(f"{WITH} SELECT doc_id, array_to_string(list_filter(string_split_regex(trim(substring(title, 1, 120)), '[,;，；\\s]+'), lambda x: length(x) BETWEEN 2 AND 20)[1:10], ' ') AS tags, upper(trim(source)) AS code FROM articles")
+@query(f"{WITH} SELECT doc_id, array_to_string(list_filter(string_split_regex(trim(title), '[,;，；\\s]+'), lambda x: length(x) BETWEEN 2 AND 20)[1:10], ' ') AS tags, upper(trim(source)) AS code FROM articles")
 def item_fields(spark, d):
     a = articles(spark, d)
-    return a.select("doc_id", F.array_join(clean.item_tags(F.substring("title", 1, 120)), " ").alias("tags"), clean.item_code(F.col("source")).alias("code"))
+    return a.select("doc_id", F.array_join(clean.item_tags(F.col("title")), " ").alias("tags"), clean.item_code(F.col("source")).alias("code"))
 
 
 @query("SELECT event_id, strptime(strftime(ts, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS parsed, CAST(CAST(ts AS DATE) AS VARCHAR) || 'T00:00:00' AS in_url FROM events")
@@ -803,3 +824,6 @@ def merged_hits(spark, d):
     v = tables.ranked(e.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), (F.col("label") / 10).alias("score")), "score", "id", 1_000_000)
     k = tables.ranked(e.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 7 / 7).alias("score")), "score", "id", 1_000_000)
     return tables.merge_hits(v, k).select("id", F.col("vector_rank").cast("long").alias("vector_rank"), F.col("keyword_rank").cast("long").alias("keyword_rank"), r(F.col("score")).alias("score"))
+
+
+from tessella import queries_more  # noqa: E402, F401  registers its queries here

@@ -15,6 +15,19 @@ def session(name: str = "tessella", **conf: str) -> SparkSession:
     return b.config(map=base | conf).getOrCreate()
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; a temporary one only in local mode, where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        root = tempfile.mkdtemp(prefix="tessella-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; timestamps without zone become timestamps (the session is in UTC), as watermarks need them."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,5 +1,6 @@
-"""Versioned Parquet tables: each write is a new directory and one empty mark that names it, so a reader sees a
-whole version or the one before it, and a failed write leaves the table as it was."""
+"""Versioned Parquet tables.  A version is a list of parts, each a folder of rows; one mark a number, created exclusively,
+commits it.  A reader sees a whole version or the one before it, a failed write leaves the table as it was, and of two
+writers that start from one version the second is told so and tries again on the newer one."""
 
 from __future__ import annotations
 
@@ -14,6 +15,16 @@ from pyspark.sql import types as T
 from tessella.operators import tables
 from tessella.schemas import conform
 
+#: So many upserts are kept as parts that are merged on reading; the next one rewrites the table.
+DELTAS = 8
+RETRIES = 5
+#: Batch ids that a version remembers; a stream repeats its last batch only.
+BATCHES = 1000
+
+
+class Conflict(RuntimeError):
+    """Another writer committed first."""
+
 
 class Table:
     """A document, vector, snapshot or log table under one path of any Hadoop file system."""
@@ -26,57 +37,122 @@ class Table:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _marks(self) -> list[str]:
-        """Names of the version marks, oldest first."""
+        """Names of the version marks, oldest first; a mark without content belongs to a writer that died."""
         fs, p = self._fs(f"{self.path}/_version-*")
         found = fs.globStatus(p)
-        return sorted(str(f.getPath().getName()) for f in found) if found is not None else []
+        return sorted(str(f.getPath().getName()) for f in found if f.getLen()) if found is not None else []
+
+    def _content(self, mark: str) -> dict:
+        fs, p = self._fs(f"{self.path}/{mark}")
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
     def version(self) -> str | None:
-        """The newest version's folder.  A mark is one empty file whose creation is the commit."""
+        """The newest version's mark."""
         marks = self._marks()
-        return marks[-1].split("-")[2] if marks else None
+        return marks[-1] if marks else None
+
+    def _state(self) -> tuple[int, list[list[str]], list[str]]:
+        """Number, parts ([folder, kind]) and applied batches of the current version."""
+        mark = self.version()
+        if mark is None:
+            return -1, [], []
+        c = self._content(mark)
+        return int(mark.split("-")[1]), c["parts"], c["batches"]
+
+    def _rows(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}")
+
+    def _merged(self, parts: list[list[str]]) -> DataFrame:
+        out = None
+        for folder, kind in parts:
+            new = self._rows(folder)
+            out = new if out is None else out.unionByName(new) if kind == "rows" else tables.upsert(out, new, self.key)
+        return self.spark.createDataFrame([], self.schema) if out is None else out
 
     def read(self) -> DataFrame:
         """The current version; an empty table if there is none."""
-        v = self.version()
-        return self.spark.createDataFrame([], self.schema) if v is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/{v}")
+        return self._merged(self._state()[1])
 
-    def overwrite(self, df: DataFrame) -> None:
-        v = uuid.uuid4().hex
+    def _write(self, df: DataFrame) -> str:
+        folder = uuid.uuid4().hex
         writer = conform(df, self.schema).write
-        (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{v}")
-        marks = self._marks()
-        number = int(marks[-1].split("-")[1]) + 1 if marks else 0
-        fs, p = self._fs(f"{self.path}/_version-{number:012d}-{v}")
-        fs.create(p, False).close()
+        (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _commit(self, number: int, parts: list[list[str]], batches: list[str]) -> None:
+        """Create the mark of that number; Conflict if it exists."""
+        fs, p = self._fs(f"{self.path}/_version-{number:012d}")
+        try:
+            stream = fs.create(p, False)
+        except Exception as e:  # noqa: BLE001  the file system's own error class differs
+            if fs.exists(p):
+                raise Conflict(f"version {number} of {self.path} is taken") from e
+            raise
+        stream.write(bytearray(json.dumps({"parts": parts, "batches": batches}).encode()))
+        stream.close()
+
+    def _change(self, make: Callable[[list[list[str]]], list[list[str]]], batch: str | None = None) -> None:
+        """Commit make(parts) on top of the version it was made from; on a conflict, again on the newer one.  A batch that
+        the table has taken before changes nothing."""
+        for _ in range(RETRIES):
+            number, parts, batches = self._state()
+            if batch is not None and batch in batches:
+                return
+            new = make(parts)
+            try:
+                return self._commit(number + 1, new, (batches + [batch])[-BATCHES:] if batch is not None else batches)
+            except Conflict:
+                continue
+        raise Conflict(f"{self.path}: other writers won {RETRIES} times")
+
+    def overwrite(self, df: DataFrame) -> None:
+        folder = self._write(df)
+        self._change(lambda parts: [[folder, "rows"]])
 
     def vacuum(self, keep: int = 2) -> None:
-        """Remove all but the newest versions."""
-        for mark in self._marks()[:-keep]:
-            for name in (mark, mark.split("-")[2]):
+        """Remove all but the newest versions, and the folders that only those used."""
+        marks = self._marks()
+        live = {f for m in marks[-keep:] for f, _ in self._content(m)["parts"]}
+        old = [(m, self._content(m)["parts"]) for m in marks[:-keep]]
+        for mark, parts in old:
+            for name in (mark, *(f for f, _ in parts if f not in live)):
                 fs, p = self._fs(f"{self.path}/{name}")
                 fs.delete(p, True)
 
-    def append(self, df: DataFrame) -> None:
-        v = self.version()
-        if v is None:
-            self.overwrite(df)
-        else:
-            writer = conform(df, self.schema).write.mode("append")
-            (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{v}")
+    def append(self, df: DataFrame, batch: str | None = None) -> None:
+        """Add rows as a part of their own; a repeated batch id adds nothing."""
+        if batch is not None and batch in self._state()[2]:
+            return
+        folder = self._write(df)
+        self._change(lambda parts: [*parts, [folder, "rows"]], batch)
+
+    # keyed changes
+    def upsert(self, new: DataFrame, batch: str | None = None) -> None:
+        """Rows of new replace those with their keys: written as a part that reads merge, so the table is rewritten once in
+        DELTAS times only."""
+        folder = self._write(tables.latest(conform(new, self.schema), self.key, F.asc(self.key)))
+
+        def add(parts: list[list[str]]) -> list[list[str]]:
+            out = [*parts, [folder, "upsert"]]
+            return [[self._write(self._merged(out)), "rows"]] if len(out) > DELTAS else out
+
+        self._change(add, batch)
 
-    # keyed changes: each plans one shuffle join of the old rows with the keys of the new ones
-    def upsert(self, new: DataFrame) -> None:
-        self.overwrite(tables.upsert(self.read(), tables.latest(conform(new, self.schema), self.key, F.asc(self.key)), self.key))
+    def _rewrite(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        self._change(lambda parts: [[self._write(change(self._merged(parts))), "rows"]])
 
     def update(self, patch: DataFrame) -> None:
-        self.overwrite(tables.partial_update(self.read(), patch, self.key))
+        self._rewrite(lambda old: tables.partial_update(old, patch, self.key))
 
     def delete(self, ids: DataFrame) -> None:
-        self.overwrite(tables.delete_by_id(self.read(), ids, self.key))
+        self._rewrite(lambda old: tables.delete_by_id(old, ids, self.key))
 
     def delete_where(self, condition: Column) -> None:
-        self.overwrite(tables.delete_by_query(self.read(), condition))
+        self._rewrite(lambda old: tables.delete_by_query(old, condition))
 
     def truncate(self) -> None:
         self.overwrite(self.spark.createDataFrame([], self.schema))
@@ -97,8 +173,9 @@ class Table:
         return tables.page(df if condition is None else df.filter(condition), [F.asc(self.key)], size, offset)
 
     # upkeep
-    def compact(self, files: int = 1) -> None:
-        self.overwrite(self.read().coalesce(files))
+    def compact(self, rows_a_file: int = 1_000_000) -> None:
+        """Rewrite the table as one part, with as many files as its rows need."""
+        self._rewrite(lambda old: old.repartition(max(1, -(-old.count() // rows_a_file))))
 
     def view(self, name: str, condition: Column | None = None) -> None:
         """An alias, filtered or not."""

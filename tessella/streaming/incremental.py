@@ -86,8 +86,8 @@ def start_upserts(stream: DataFrame, target: Table, checkpoint: str, transform:
     """A query that upserts each micro-batch.  A batch that runs twice gives the same table, so delivery is
     effectively exactly once.  trigger: availableNow=True or processingTime='30 minutes'."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        target.upsert(tables.latest(transform(batch), target.key, *(order or [F.asc(target.key)])))
+    def write(batch: DataFrame, number: int) -> None:
+        target.upsert(tables.latest(transform(batch), target.key, *(order or [F.asc(target.key)])), f"{checkpoint}:{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
