@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,20 +31,70 @@ def exact(df: DataFrame, hash_col: str, order_col: str, seen: DataFrame | None =
     return out.withColumn("dup_of", F.when(F.col("_seen").isNotNull(), F.lit("")).otherwise(dup)).drop("_first", "_seen")
 
 
-def similar_pairs(df: DataFrame, id_col: str, text: Column, threshold: float = THRESHOLD, features: int = 1000) -> DataFrame:
-    """a, b, similarity: pairs of documents whose TF-IDF vectors have cosine >= threshold.
+#: Vectors of one block; two blocks meet in one task.
+BLOCK = 2048
 
-    Prefix filtering: a vector's terms are ordered rare first, and of a pair at least one shared term lies in both
-    prefixes whose remaining norm is below the threshold, so only prefix terms generate candidates and common terms
-    join nothing; candidates are then scored exactly."""
+
+def _vectors(df: DataFrame, id_col: str, text: Column, features: int) -> DataFrame:
+    """id, vec: array<struct<ix, weight>> over at most `features` terms, by number of the term."""
     v = tfidf_terms(df, id_col, text, features).select(F.col(id_col).alias("id"), "term", "weight")
-    df_ = v.groupBy("term").agg(F.count("*").alias("df"))
-    rare = Window.partitionBy("id").orderBy("df", "term")
-    rest = F.sqrt(F.greatest(F.lit(0.0), 1 - F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))))
-    p = v.join(F.broadcast(df_), "term").withColumn("rest", rest).filter(F.col("rest") >= threshold - 1e-9).select("id", "term")  # `features` rows
-    pairs = p.alias("x").join(p.alias("y"), (F.col("x.term") == F.col("y.term")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).dropDuplicates()
-    x = pairs.join(v.select(F.col("id").alias("a"), "term", F.col("weight").alias("wa")), "a").join(v.select(F.col("id").alias("b"), "term", F.col("weight").alias("wb")), ["b", "term"])
-    return x.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).filter(F.col("similarity") >= threshold - 1e-9)
+    ix = v.select("term").dropDuplicates().withColumn("ix", F.row_number().over(Window.orderBy("term")) - 1)  # `features` rows
+    return v.join(F.broadcast(ix), "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ix", "weight"))).alias("vec"))
+
+
+def _grouped(vectors: DataFrame) -> DataFrame:
+    """id, vec, rep: the smallest id with the same vector; written once, as it is read several times."""
+    hashed = vectors.withColumn("h", F.xxhash64("vec")).withColumn("g", F.xxhash64(F.lit("second"), "vec"))
+    return _cut(vectors)(hashed.withColumn("rep", F.min("id").over(Window.partitionBy("h", "g"))).drop("h", "g"))
+
+
+def _near(reps: DataFrame, threshold: float, features: int, block: int) -> DataFrame:
+    """a, b, similarity of the vectors of reps (id, vec) with cosine >= threshold.
+
+    Common words give most documents of a language a cosine well above 0.5, so an inverted index proposes nearly every
+    pair; instead blocks of vectors are multiplied, every two of them in one task, and only pairs that pass leave it.
+    The work still grows with the square of the different vectors, but as dense arithmetic: no pair is shuffled."""
+    kind = reps.schema["id"].dataType.simpleString()
+    blocks = max(1, -(-reps.count() // block))
+    dealt = reps.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    dealt = dealt.select("id", "vec", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def dense(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        m = np.zeros((len(part), features))
+        for row, vec in enumerate(part["vec"]):
+            m[row, [x["ix"] for x in vec]] = [x["weight"] for x in vec]
+        return part["id"].to_numpy(), m
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
+        a_id, a = dense(part[part["own"] == i])
+        b_id, b = (a_id, a) if i == j else dense(part[part["own"] == j])
+        s = a @ b.T
+        x, y = np.nonzero(np.triu(s >= threshold - 1e-9, 1) if i == j else s >= threshold - 1e-9)
+        swap = a_id[x] > b_id[y]
+        return pd.DataFrame({"a": np.where(swap, b_id[y], a_id[x]), "b": np.where(swap, a_id[x], b_id[y]), "similarity": s[x, y]})
+
+    return dealt.groupBy("i", "j").applyInPandas(run, f"a {kind}, b {kind}, similarity double")
+
+
+def similar_pairs(df: DataFrame, id_col: str, text: Column, threshold: float = THRESHOLD, features: int = 1000, block: int = BLOCK) -> DataFrame:
+    """a, b, similarity: all pairs of documents whose TF-IDF vectors have cosine >= threshold.  Documents with equal
+    vectors are compared once; their pairs are written out at the end, as the result lists them."""
+    v = _grouped(_vectors(df, id_col, text, features))
+    near = _near(v.filter(F.col("id") == F.col("rep")).select("id", "vec"), threshold, features, block)
+    of = v.select("id", "rep")
+    left, right = of.select(F.col("rep").alias("a"), F.col("id").alias("x")), of.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    across = near.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    same = of.alias("p").join(of.alias("q"), (F.col("p.rep") == F.col("q.rep")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(same)
+
+
+def similar_links(df: DataFrame, id_col: str, text: Column, threshold: float = THRESHOLD, features: int = 1000, block: int = BLOCK) -> DataFrame:
+    """a, b: links with the same components as similar_pairs(), one for each further document with an equal vector, so
+    copies are not written out as pairs."""
+    v = _grouped(_vectors(df, id_col, text, features))
+    near = _near(v.filter(F.col("id") == F.col("rep")).select("id", "vec"), threshold, features, block)
+    return near.select("a", "b").unionByName(v.filter(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b")))
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
@@ -79,7 +131,7 @@ def deduplicate(df: DataFrame, id_col: str, text: Column, hash_col: str = "conte
     """df with dup_kind (null, exact, near) and dup_of: rows with a null dup_kind stay, and the two sets partition df."""
     marked = exact(df, hash_col, id_col, seen)
     fresh = marked.filter("dup_of is null").drop("dup_of")
-    label = clusters(similar_pairs(fresh, id_col, text, threshold))
+    label = clusters(similar_links(fresh, id_col, text, threshold))
     fresh = fresh.join(label.select(F.col("node").alias("_node"), F.col("label").alias("_label")), F.col(id_col) == F.col("_node"), "left").withColumn("_cluster", F.coalesce("_label", F.col(id_col)))
     best = best_of(fresh, "_cluster", id_col).select("_cluster", F.col(id_col).alias("_best"))
     near = fresh.join(best, "_cluster").withColumn("dup_of", F.when(F.col("_best") != F.col(id_col), F.col("_best").cast("string"))).drop("_node", "_label", "_cluster", "_best")

@@ -157,7 +157,7 @@ def near_dup_pairs(spark, d):
 @query(f"""WITH RECURSIVE {_TFIDF}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.weight * b.weight) AS s FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING s >= 0.85 - 1e-9),
     e AS (SELECT a AS u, b AS w FROM p UNION SELECT b, a FROM p), reach AS (SELECT u AS node, u AS m FROM e UNION SELECT r.node, e.w FROM reach r JOIN e ON e.u = r.m) SELECT node, min(m) AS label FROM reach GROUP BY node""")
 def near_dup_clusters(spark, d):
-    return dedup.clusters(dedup.similar_pairs(load(spark, d, "documents"), "doc_id", F.col("text")))
+    return dedup.clusters(dedup.similar_links(load(spark, d, "documents"), "doc_id", F.col("text")))
 
 
 @query("""SELECT doc_id, coalesce(nullif('', ''), sha256(coalesce(split_part(text, chr(10), 1), '') || '|' || substring(text, 1, 500) || '|' || source)) AS hash FROM documents""")

@@ -28,9 +28,22 @@ def scratch(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: A scan of fewer splits than this is spread over all cores; a larger one has enough and is left alone.
+FEW_SPLITS = 32
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer splits: a small file of one row group is one task otherwise, however
+    dear the work on its texts.  Filters and column choices still reach the scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; timestamps without zone become timestamps (the session is in UTC), as watermarks need them."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in ("documents", "pages"):
+        df = spread(df)
     for c, kind in df.dtypes:
         if kind == "timestamp_ntz":
             df = df.withColumn(c, F.col(c).cast("timestamp"))

@@ -171,7 +171,10 @@ def test_similar_pairs_equal_brute_force(spark):
         v.setdefault(r.id, {})[r.term] = r.weight
     for limit in (0.3, 0.6, 0.9):
         want = {(a, b) for a, b in itertools.combinations(v, 2) if sum(w * v[b].get(t, 0) for t, w in v[a].items()) >= limit}
-        assert {(r.a, r.b) for r in dedup.similar_pairs(d, "id", F.col("t"), limit).collect()} == {tuple(sorted(p)) for p in want}
+        for block in (2, 100):
+            assert {(r.a, r.b) for r in dedup.similar_pairs(d, "id", F.col("t"), limit, block=block).collect()} == {tuple(sorted(p)) for p in want}
+        links, pairs = (dedup.clusters(f(d, "id", F.col("t"), limit, block=2)).collect() for f in (dedup.similar_links, dedup.similar_pairs))
+        assert sorted(map(tuple, links)) == sorted(map(tuple, pairs))
 
 
 def test_deduplicate_partitions_its_input(spark):
