@@ -204,6 +204,44 @@ def test_recall_of_scattered_edits(spark):
     assert found <= {i for ids in planted.values() for i in ids}
 
 
+def test_contexts_rule_out_no_passage():
+    from tessella.llm._sets import word_hashes
+
+    r = random.Random(4)
+    able, accepted = [], 0
+    for rate in (0.05, 0.15, 0.2, 0.3) * 300:
+        passage = filler(r, r.randrange(30, 90))
+        at = r.randrange(len(passage) - passages.K + 1)
+        other = [w if at <= i < at + passages.K or r.random() > rate else f"e{i}" for i, w in enumerate(passage)]
+        left, right = r.randrange(40), r.randrange(40)
+        h, g = (word_hashes([" ".join(filler(r, n) + p + filler(r, right)).encode()])[0] for n, p in ((left, passage), (left // 2, other)))
+        p, q = np.array([left + at]), np.array([left // 2 + at])
+        s, e, _, _, similarity = passages.align(h, g, p, q)
+        x, y = passages._context(h, p), passages._context(g, q)
+        able.append(passages.hopeful(x, y, 50, 0.8)[0])
+        if e - s >= 50 and similarity >= 0.8:
+            accepted += 1
+            assert able[-1]
+    assert accepted > 100
+    noise = np.random.default_rng(5).integers(0, 1 << 63, (2, 20000), dtype=np.uint64)
+    assert passages.hopeful(*noise, 50, 0.8).mean() < 0.15 and not passages.hopeful(*noise, 50, 0.8).all()
+
+
+def test_passages_of_one_short_seed(spark):
+    r = random.Random(6)
+    rows, lone = [], set()
+    for k in range(30):  # 17 equal words share a short seed, mostly just one; the rest keeps five words in six
+        passage = filler(r, 17) + filler(r, 60)
+        edited = [w if i < 17 or i % 6 != 5 else f"e{r.randrange(10**9)}" for i, w in enumerate(passage)]
+        pair = [filler(r, 20) + p + filler(r, 20) for p in (passage, edited)]
+        rows += [(2 * k, " ".join(pair[0])), (2 * k + 1, " ".join(pair[1]))]
+        short = [set(passages.seeds_of(passages.word_hashes([" ".join(p).encode()])[0])[0].tolist()) for p in pair]
+        if len(short[0] & short[1]) == 1:
+            lone.add(2 * k + 1)
+    found = {x.doc_id for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(lone) > 5 and found == {2 * k + 1 for k in range(30)}
+
+
 def test_passages_do_not_depend_on_partitions(spark):
     docs = generated(spark)
     want = {tuple(r) for r in passages.repeated_passages(docs).collect()}
@@ -223,7 +261,7 @@ def test_one_word_over_and_over_gives_few_seeds():
     from tessella.llm._sets import word_hashes
 
     h = word_hashes([b"again " * 3000])[0]
-    s, at = passages.seeds_of(h)
+    s, at, _ = passages.seeds_of(h)
     assert len(s) < 600 and at.max() > 2900
 
 
