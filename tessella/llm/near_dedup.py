@@ -6,9 +6,10 @@ combined pair by pair into TENSOR x TENSOR table keys of four minhashes: 64 tabl
 
 Equal sets are collapsed first, so copies of any number count once.  The rows (table key, node, signature) are
 range-sorted by key and node, which spreads a hot key over as many partitions as it needs; a pass over each sorted
-partition compares every row of a key's run with the leaders of the run so far and starts a new leader where no
-signature agrees, so a run costs rows x leaders and emits one candidate a row and agreeing leader, never all pairs.
-Leaders of runs that touch a partition's border meet in a second, small pass.
+partition starts a new leader of a key's run where no signature agrees and compares every leader with the whole run,
+so a run costs rows x leaders and emits one candidate a row and agreeing leader, never all pairs.  Of two alike rows
+under different leaders each is thereby compared with the other's leader too.  Leaders of runs that touch a
+partition's border meet in a second, small pass.
 
 Candidates are confirmed on full shingle sets of the whole texts.  Confirmed links are contracted by alternating
 large-star and small-star steps with every round written to the shared folder.  The leader of a run is its hub, the row
@@ -147,35 +148,37 @@ def _hub(s: np.ndarray) -> int:
     return int((near >= near.max() - 2).argmax())
 
 
+def _follow(n: np.ndarray, s: np.ndarray) -> tuple[list, list]:
+    """Leaders (places) of a whole run and the pairs (leader, row) of each leader with every row that it agrees with.  A
+    row that agrees with no leader so far leads in turn; its later leaders see it too, so rows alike meet at one at least."""
+    pairs, leaders, rest = [], [], np.arange(len(n))
+    while len(rest):
+        i = rest[_hub(s[rest])]
+        agree = (s == s[i]).sum(1) >= AGREE
+        hit = np.flatnonzero(agree & (n != n[i]))
+        pairs.append((np.full(len(hit), n[i]), n[hit]))
+        leaders.append(i)
+        rest = rest[~agree[rest]]
+    return leaders, pairs
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and node: candidates (a = leader, b = follower), and leaders of the partition's edge runs."""
-    key, nodes, sigs, edge = None, None, None, True  # the run that goes on: its leaders; edge: it began the partition
-
-    def follow(nodes, sigs, n, s):
-        """Compare rows with the leaders; rows that agree with none lead in turn."""
-        pairs, rest = [], np.arange(len(n))
-        free = np.ones(len(n), bool)
-        for ln, ls in zip(nodes, sigs, strict=True):
-            hit = (s == ls).sum(1) >= AGREE
-            pairs.append((np.full(hit.sum(), ln), n[hit]))
-            free &= ~hit
-        rest = rest[free]
-        new_n, new_s = [], []
-        while len(rest):
-            at = _hub(s[rest])
-            i, rest = rest[at], np.delete(rest, at)
-            new_n.append(n[i])
-            new_s.append(s[i])
-            hit = (s[rest] == s[i]).sum(1) >= AGREE
-            pairs.append((np.full(hit.sum(), n[i]), n[rest[hit]]))
-            rest = rest[~hit]
-        return pairs, [*nodes, *new_n], [*sigs, *new_s]
+    """Rows sorted by key and node: candidates (a = leader, b = follower), and leaders of the partition's edge runs.  A run
+    is held until it ends, whatever batches it comes in; it is no larger than its partition."""
+    held: list = []  # the run that goes on: (node, sig) parts
+    key, edge = None, True  # edge: the run began the partition
+
+    def close(last: bool = False):
+        """Pairs of the held run, and its leaders where it touches a border of the partition."""
+        n, s = (np.concatenate(x) for x in zip(*held, strict=True))
+        if len(n) == 1:  # most runs
+            return [], [(key, n[0], s[0])] if edge or last else []
+        leaders, pairs = _follow(n, s)
+        return pairs, [(key, n[i], s[i]) for i in leaders] if edge or last else []
 
     def out(pairs, edges):
         a = np.concatenate([p[0] for p in pairs] or [np.zeros(0, np.int64)]).astype(np.int64)
         b = np.concatenate([p[1] for p in pairs] or [np.zeros(0, np.int64)]).astype(np.int64)
-        same = a != b
-        a, b = a[same], b[same]
         at, inverse = np.unique(np.stack([a, b], 1), axis=0, return_counts=True)
         n, m = len(at), len(edges)
         ek = pa.array([e[0] for e in edges], pa.int64())
@@ -195,32 +198,27 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.append(0, np.flatnonzero(k[1:] != k[:-1]) + 1)
         sizes = np.diff(np.append(starts, len(k)))
         pairs, edges = [], []
-        if key is not None and k[0] != key:
-            if edge:
-                edges += [(key, x, y) for x, y in zip(nodes, sigs, strict=True)]
-            key, edge = None, False
-        inner = (sizes > 1) & (starts > 0) & (starts + sizes < len(k))
-        two = starts[inner & (sizes == 2)]
-        if len(two):
-            hit = two[(s[two] == s[two + 1]).sum(1) >= AGREE]
-            pairs.append((n[hit], n[hit + 1]))
-        for j in np.flatnonzero(inner & (sizes > 2)):
-            lo, hi = starts[j], starts[j] + sizes[j]
-            pairs += follow([], [], n[lo:hi], s[lo:hi])[0]
-        for j in sorted({0, len(starts) - 1}):  # runs that may go on before or after this batch
-            lo, hi = starts[j], starts[j] + sizes[j]
-            if key is not None and k[lo] != key:
-                if edge:
-                    edges += [(key, x, y) for x, y in zip(nodes, sigs, strict=True)]
-                key, edge = None, False
-            if key is None:
-                nodes, sigs = [], []
-            key = k[lo]
-            more, nodes, sigs = follow(nodes, sigs, n[lo:hi], s[lo:hi])
+        if held and k[0] != key:
+            more, edges = close()
             pairs += more
+            held, edge = [], False
+        key = k[0] if not held else key
+        held.append((n[: sizes[0]], s[: sizes[0]]))
+        if len(starts) > 1:  # the first run ends here; the last one may go on
+            more, ends = close()
+            pairs, edges = pairs + more, edges + ends
+            inner = np.arange(len(starts))
+            inner = (inner > 0) & (inner < len(starts) - 1)
+            two = starts[inner & (sizes == 2)]
+            if len(two):
+                hit = two[((s[two] == s[two + 1]).sum(1) >= AGREE) & (n[two] != n[two + 1])]
+                pairs.append((n[hit], n[hit + 1]))
+            for j in np.flatnonzero(inner & (sizes > 2)):
+                pairs += _follow(n[starts[j] : starts[j] + sizes[j]], s[starts[j] : starts[j] + sizes[j]])[1]
+            held, key, edge = [(n[starts[-1] :], s[starts[-1] :])], k[starts[-1]], False
         yield out(pairs, edges)
-    if key is not None:
-        yield out([], [(key, x, y) for x, y in zip(nodes, sigs, strict=True)])
+    if held:
+        yield out(*close(last=True))
 
 
 def _deep_band(k: int):

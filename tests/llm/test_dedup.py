@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +181,43 @@ def test_near_dedup_does_not_depend_on_batches_or_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: c for i, (c, _) in want.items()}
 
 
+def _pass(n, key, sig, size):
+    """Pairs and edge leaders of one sorted partition, dealt in batches of `size` rows."""
+    full = pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["key", "node", "sig"])
+    pairs, edges = set(), set()
+    for b in near_dedup._candidates(full.slice(i, size) for i in range(0, len(n), size)):
+        for a, f, _, k, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if f is None:
+                edges.add((k, a))
+            else:
+                pairs.add((a, f))
+    return pairs, edges
+
+
+def test_near_dedup_candidates_do_not_depend_on_batches():
+    rng = np.random.default_rng(1)
+    key = np.sort(rng.integers(0, 12, 200))
+    sig = rng.integers(0, 2, (200, near_dedup.HASHES)).astype(np.uint8)
+    want = _pass(range(200), key, sig, 200)
+    assert {k for k, _ in want[1]} == {int(key[0]), int(key[-1])}
+    for size in (1, 2, 7, 64):
+        assert _pass(range(200), key, sig, size) == want
+    for lone in (1, 3):
+        assert _pass(range(lone), [5] * lone, sig[:1].repeat(lone, 0), 1) == (({(0, 1), (0, 2)} if lone == 3 else set()), {(5, 0)})
+
+
+def test_near_dedup_rows_meet_every_leader_that_they_agree_with():
+    rng = np.random.default_rng(2)
+    key, sig = [9] * 300, rng.integers(0, 2, (300, near_dedup.HASHES)).astype(np.uint8)
+    pairs, edges = _pass(range(300), key, sig, 50)
+    leaders = [n for _, n in edges]
+    assert 1 < len(leaders) < 300
+    for a in leaders:
+        alike = {b for b in range(300) if b != a and (sig[a] == sig[b]).sum() >= near_dedup.AGREE}
+        assert {b for x, b in pairs if x == a} == alike
+    assert {b for _, b in pairs} | set(leaders) == set(range(300))
+
+
 def test_near_dedup_of_null_ids(spark):
     text = [" ".join(f"{p}{i}" for i in range(100)) for p in "abc"]
     rows = [(None, text[0]), (None, text[1]), (None, text[1] + " end"), (7, text[2]), (None, text[2]), (None, text[2] + " end"), (None, "")]
