@@ -12,6 +12,8 @@ from tessella.lexicons import ZH_FINANCE, Lexicon
 TAG = "<[^>]+>"
 URL = "https?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\\\(\\\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 EMAIL = "\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}\\b"
+#: The edge of an ASCII word, as \b means in SQL; Java's own \b counts other letters as parts of words too.
+EDGE = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 MIN_PARAGRAPH = 10
 HASH_CHARS = 500
@@ -43,7 +45,7 @@ def clean_text(text: Column, lexicon: Lexicon = ZH_FINANCE, all_entities: bool =
     text = F.coalesce(text, F.lit(""))
     if not decoded:
         text = unescape_all(text) if all_entities else unescape(text)
-    for pattern, put in ((TAG, ""), (space, " "), (URL, ""), (EMAIL, "")):
+    for pattern, put in ((TAG, ""), (space, " "), (URL, ""), (EMAIL.replace("\\b", EDGE), "")):
         text = F.regexp_replace(text, pattern, put)
     for old, new in lexicon.replacements:
         text = F.replace(text, F.lit(old), F.lit(new))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import clean, classify, display, entities, features, quality, segment, sentiment, urls
-from tessella.lexicons import ZH_FINANCE
+from tessella.lexicons import LATIN_DEMO, ZH_FINANCE
 
 
 def one(spark, expr, **cols):
@@ -19,6 +19,15 @@ def test_clean_text(spark, raw, want):
     assert one(spark, clean.clean_text(F.col("t")), t=raw) == want
 
 
+@pytest.mark.parametrize("raw", ["esheha b@c.example.comÓezie", "chßa@b.exampleé.com", "éa.b@c.org x", "a@b.comé.org", "x a@b.org.", "_a@b.com_", "è.a@b.net"])
+def test_mail_addresses_end_where_sql_ends_them(spark, raw):
+    import duckdb
+
+    from tessella.queries import _clean_sql
+    want = duckdb.execute(f"SELECT {_clean_sql('t')} FROM (SELECT ? AS t)", [raw]).fetchone()[0]
+    assert one(spark, clean.clean_text(F.col("t"), LATIN_DEMO), t=raw) == want
+
+
 def test_clean_text_is_idempotent(spark):
     once = clean.clean_text(F.col("t"))
     for t in ("<p>每股收益 5%</p>\n更多", "A  B\tC", "x@y.zz 市净率"):
