@@ -177,6 +177,30 @@ def test_similar_pairs_equal_brute_force(spark):
         assert sorted(map(tuple, links)) == sorted(map(tuple, pairs))
 
 
+def test_similar_classes_count_every_link(spark, monkeypatch):
+    import itertools
+    import random
+
+    from tessella.operators import similar
+
+    monkeypatch.setattr(similar, "FILE_ROWS", 8)  # several files of blocks
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(base) if rng.random() < 0.2 else w for w in base) for base in (["aa bb cc dd ee ff gg hh"] * 3 + ["kk ll mm nn oo pp"] * 2) for base in [base.split()] for _ in range(8)]
+    texts += texts[:5] + texts[:3] + ["", None, "x y", "AA bb cc dd ee ff gg hh"]
+    d = spark.createDataFrame([(i * 7 % 101, t) for i, t in enumerate(texts)], "id int, t string")
+    v = {}
+    for r in vectors.tfidf_terms(d, "id", F.col("t")).collect():
+        v.setdefault(r.id, {})[r.term] = r.weight
+    links = [(a, b) for a, b in itertools.combinations(sorted(v), 2) if sum(w * v[b].get(t, 0) for t, w in v[a].items()) >= 0.7 - 1e-9]
+    label = {r.id: r.id for r in d.collect()}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    want = {i: (label[i], sum(i in p for p in links)) for i in label}
+    assert 0 < len({c for c, n in want.values() if n}) < len(want)
+    assert {r.id: (r.class_id, r.n_links) for r in dedup.similar_classes(d, "id", F.col("t"), 0.7, block=4).collect()} == want
+
+
 def test_deduplicate_partitions_its_input(spark):
     text = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     rows = [(1, "h1", text, 10, datetime(2024, 1, 1), 0.1), (2, "h1", text, 10, datetime(2024, 1, 2), 0.1), (3, "h3", text + " lambda", 11, datetime(2024, 1, 3), 0.1), (4, "h4", "quite another text here", 4, None, 0.5), (5, "old", "seen before", 2, None, 0.5)]
