@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from re import _parser
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,44 @@ def _at(text: Column, pattern: str, kind: str, confidence: float, source: str) -
     return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(FORM).alias("out")), step, lambda a: a["out"])
 
 
+def needed(pattern: str) -> frozenset[str] | None:
+    """Characters of which every match of a pattern holds one; None where that is not known."""
+    try:
+        parsed = _parser.parse(pattern)
+    except re.error:
+        return None
+    return None if parsed.state.flags & re.IGNORECASE else _needed(parsed)
+
+
+def _needed(parsed) -> frozenset[str] | None:
+    sets = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            sets.append(frozenset(chr(arg)))
+        elif name == "IN" and all(str(o) in ("LITERAL", "RANGE") for o, _ in arg):
+            spans = [(a, a) if str(o) == "LITERAL" else a for o, a in arg]
+            if sum(b - a + 1 for a, b in spans) <= 64:
+                sets.append(frozenset(chr(c) for a, b in spans for c in range(a, b + 1)))
+        elif name == "SUBPATTERN" and not arg[1]:
+            sets.append(_needed(arg[-1]))
+        elif name == "MAX_REPEAT" and arg[0] > 0:
+            sets.append(_needed(arg[2]))
+        elif name == "BRANCH":
+            each = [_needed(x) for x in arg[1]]
+            sets.append(None if None in each else frozenset().union(*each))
+    return min((x for x in sets if x), key=lambda x: (any(c.isascii() and c.isalnum() for c in x), len(x)), default=None)
+
+
+def _guarded(text: Column, pattern: str, found: Column) -> Column:
+    """found, or nothing without a search where no match can be: a run of letters before a rare word is tried from each of
+    its letters."""
+    some = needed(pattern)
+    return F.when(text.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(some)) + "]"), found).otherwise(F.array().cast(FORM)) if some else found
+
+
 def pattern_entities(text: Column, patterns: dict[str, list[str]] = ENTITY_OFFSET_PATTERNS, confidence: float = 0.7) -> Column:
-    each = [_at(text, p, kind, confidence, "regex") for kind, ps in patterns.items() for p in ps]
+    each = [_guarded(text, p, _at(text, p, kind, confidence, "regex")) for kind, ps in patterns.items() for p in ps]
     return F.concat(*each)
 
 
@@ -78,8 +117,8 @@ def _sweep(es: Column) -> Column:
 
 def recognize(text: Column, patterns: dict = ENTITY_OFFSET_PATTERNS, terms: dict = ENTITY_TERMS, extra: Column | None = None) -> Column:
     """Pattern, dictionary and optional tagger entities, merged."""
-    found = [pattern_entities(text, patterns), dictionary_entities(text, terms)] + ([extra.cast(FORM)] if extra is not None else [])
-    return merge(F.concat(*found))
+    more = [extra.cast(FORM)] if extra is not None else []
+    return merge(let(text, lambda t: F.concat(pattern_entities(t, patterns), dictionary_entities(t, terms), *more)))
 
 
 def tagger_type(label: Column) -> Column:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.segment import words
+from tessella.functions.segment import words, words_of
 from tessella.lexicons import ZH_FINANCE, Lexicon
 
+_HAN, _LATIN = re.compile("[一-龥]"), re.compile("[^\\W一-龥]{2,}")
+
 
 def any_word(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words]) if words else F.lit(False)
@@ -35,8 +40,18 @@ def top_keywords(df: DataFrame, id_col: str, text: Column, k: int = 10, lexicon:
 
 
 def keywords_array(text: Column, k: int = 10, lexicon: Lexicon = ZH_FINANCE, segmenter=None) -> Column:
-    """The same terms as an array, inside one row, without a shuffle: terms are sorted and their runs counted."""
-    t = F.filter(segmenter(text) if segmenter else words(text, lexicon), lambda x: (F.length(x) > 1) & ~x.isin(lexicon.keyword_stopwords))
+    """The same terms as an array, inside one row, without a shuffle.  Words by the lexicon are counted by an Arrow-batched
+    function, since a fold copies all it has for each different word; those of a segmenter are sorted and their runs counted."""
+    if segmenter is None:
+        stop = frozenset(lexicon.keyword_stopwords)
+
+        @F.pandas_udf("array<string>")
+        def commonest(s: pd.Series) -> pd.Series:
+            found = (words_of(v, lexicon) if _HAN.search(v) else _LATIN.findall(v.lower()) for v in s.fillna(""))
+            return pd.Series([[w for w, _ in Counter(w for w in ws if len(w) > 1 and w not in stop).most_common(k)] for ws in found])  # of equal counts, what came first
+
+        return commonest(text)
+    t = F.filter(segmenter(text), lambda x: (F.length(x) > 1) & ~x.isin(lexicon.keyword_stopwords))
     ordered = F.array_sort(F.transform(t, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<struct<n:int,i:int,w:string>>").alias("out"))
     run = lambda acc: F.when(acc["n"] > 0, F.concat(acc["out"], F.array(F.struct((-acc["n"]).alias("n"), acc["i"].alias("i"), acc["w"].alias("w"))))).otherwise(acc["out"])

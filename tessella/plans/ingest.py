@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import classify, clean, entities, features, quality, sentiment
+from tessella.functions.segment import let
 from tessella.lexicons import ZH_FINANCE, Lexicon
 from tessella.operators import aggregates, dedup, filters
 from tessella.schemas import RAW_DOCUMENTS, conform
@@ -81,7 +82,8 @@ def nlp(docs: DataFrame, options: Options | None = None) -> DataFrame:
     if o.nlp_keywords:
         out = out.withColumn("extracted_keywords", features.keywords_array(text, 20, o.lexicon))
     if o.nlp_entities:
-        out = out.withColumn("_t", text).withColumn("recognized_entities", entities.recognize(F.col("_t"))).drop("_t").withColumn("grouped_entities", entities.group_by_type(F.col("recognized_entities")))
+        found = let(entities.recognize(text), lambda e: F.struct(e.alias("e"), entities.group_by_type(e).alias("g")))  # searched once a row
+        out = out.withColumn("_found", found).withColumns({"recognized_entities": F.col("_found.e"), "grouped_entities": F.col("_found.g")}).drop("_found")
     if o.nlp_sentiment:
         s = {"s_title": sentiment.dictionary_sentiment(title, o.lexicon), "s_content": sentiment.dictionary_sentiment(content, o.lexicon), "s_shift": sentiment.financial_adjustment(text, o.lexicon)}
         out = out.withColumns(s)

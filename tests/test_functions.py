@@ -28,6 +28,23 @@ def test_mail_addresses_end_where_sql_ends_them(spark, raw):
     assert one(spark, clean.clean_text(F.col("t"), LATIN_DEMO), t=raw) == want
 
 
+def test_patterns_are_searched_where_a_match_can_be():
+    from tessella.lexicons import ENTITY_OFFSET_PATTERNS as P
+
+    found = {p: entities.needed(p) for ps in P.values() for p in ps}
+    assert sum(x is not None and all(not c.isascii() for c in x) for x in found.values()) >= 10
+    assert entities.needed("[0-9]+\\.?[0-9]*%") == {"%"} and entities.needed("(?i)ab") is None and entities.needed("a*|b") is None
+    assert entities.needed("(?:甲|乙丙)[a-z]*") >= {"甲"} and entities.needed("x(?:甲)?") == {"x"}
+
+
+def test_keywords_of_a_text_of_many_words(spark):
+    import time
+
+    text, began = " ".join(f"w{i % 30_000}" for i in range(60_000)) + " w7", time.time()
+    assert one(spark, features.keywords_array(F.col("t"), 3), t=text) == ["w7", "w0", "w1"]
+    assert time.time() - began < 30  # a fold that copies its counts takes minutes
+
+
 def test_clean_text_is_idempotent(spark):
     once = clean.clean_text(F.col("t"))
     for t in ("<p>每股收益 5%</p>\n更多", "A  B\tC", "x@y.zz 市净率"):
