@@ -14,6 +14,7 @@ from tessella.functions.segment import let
 from tessella.lexicons import ZH_FINANCE, Lexicon
 from tessella.operators import aggregates, dedup, filters
 from tessella.schemas import RAW_DOCUMENTS, conform
+from tessella.session import staged
 
 
 @dataclass
@@ -58,12 +59,14 @@ def register_stage(name: str, stage: Callable[[DataFrame], DataFrame]) -> None:
 def process(docs: DataFrame, options: Options | None = None) -> Result:
     """Every row ends in exactly one of final, duplicates and low_quality (with filter_quality)."""
     o = options or Options()
-    cleaned = clean.clean_documents(docs, o.lexicon, o.keep_lines)
+    # staged, since each feature would hold the expression of the cleaned text
+    cleaned = staged(clean.clean_documents(docs, o.lexicon, o.keep_lines), "cleaned")
     rich = features.extract_features(cleaned, o.lexicon)
     for stage in o.extra_stages:
         rich = (STAGES[stage] if isinstance(stage, str) else stage)(rich)
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
     if o.near_duplicates:
+        rich = staged(rich, "rich")  # cleaned and extracted once: the comparison and every result read the rows several times
         marked = dedup.deduplicate(rich, o.id_col, text, "content_hash", o.threshold)
     else:
         marked = dedup.exact(rich, "content_hash", o.id_col).withColumn("dup_kind", F.when(F.col("dup_of").isNotNull(), "exact"))

@@ -202,3 +202,17 @@ def test_queries_run_near_duplicates_and_keywords(spark, tmp_path):
     assert ids and not any(i % 1_000_000 == j % 1_000_000 for i in ids for j in ids if i < j)
     rows = queries.QUERIES["nlp_features"](spark, str(tmp_path)).collect()
     assert len(rows) == 16 and all(r.keywords > 0 for r in rows)
+
+
+def test_features_are_extracted_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def count(id):
+        seen.add(1)
+        return 1
+
+    n = raw(spark).count()
+    r = ingest.process(raw(spark), ingest.Options(extra_stages=[lambda df: df.withColumn("word_count", F.col("word_count") * count("id"))]))
+    assert r.counts()["processed"] == n and r.final.count() + r.duplicates.count() + r.low_quality.count() == n
+    assert seen.value == n
