@@ -285,6 +285,20 @@ def test_passages_cover_every_exact_repeat(spark, make):
         assert all(j + 25 in cover[i] for j in starts)
 
 
+def test_passages_of_holders_that_are_neither_first_nor_before(spark):
+    r = random.Random(3)
+    draw = lambda n: ["".join(r.choices("abcdefghij", k=7)) for _ in range(n)]
+    rows, want = [], set()
+    for k in range(0, 6000, 1000):
+        shared = draw(56)
+        pieces = [shared[at : at + 49] for at in range(8)]  # holders of its seeds, none of 50 words
+        rows += [(k + at + i, " ".join(draw(30) + p + draw(30))) for at in (0, 101) for i, p in enumerate(pieces)]
+        rows += [(k + i, " ".join(shared)) for i in (100, 200)]
+        want.add((k + 200, k + 100, 0, 56))
+    got = {(x.doc_id, x.source_id, x.start_word, x.end_word) for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= got
+
+
 def test_passages_of_nothing(spark):
     assert passages.repeated_passages(empty_docs(spark)).count() == 0
 
