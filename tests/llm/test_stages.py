@@ -1,6 +1,8 @@
 """Pipeline stages and row-keeping forms of the operators on edge rows, empty tables and clashing column names."""
 
+import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -8,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, passages, quality_cnn, quality_rules
+from tessella.llm._shared import scratch_root
 
 from .helpers import SF, edge_docs, empty_docs, generated, words
 from .test_corpus import mix_brute
@@ -257,6 +260,44 @@ def test_passages_do_not_depend_on_partitions(spark):
     assert got == want and want
 
 
+def test_seeds_of_many_texts_are_made_at_once(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(8)
+    texts = [" ".join(filler(r, n)) for n in (0, 5, 6, 16, 17, 31, 32, 50, 51, 300)] * 40 + ["again " * 90, None, "a b " * 60] * 20
+    r.shuffle(texts)
+    want = set()
+    for i, t in enumerate(texts):
+        want |= {(s, i, p, c) for s, p, c in zip(*(x.tolist() for x in passages.seeds_of(passages.word_hashes([(t or "").encode()])[0])), strict=True)}
+    calls, mix = [], passages.mix
+    monkeypatch.setattr(passages, "mix", lambda x: calls.append(1) or mix(x))
+    out = list(passages._seed(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "whole"])])))
+    got = [x for b in out for x in zip(*(c.to_numpy().tolist() for c in b.columns), strict=True)]
+    assert len(got) == len(set(got)) and {(s % 2**64, d, p, c % 2**64) for s, d, p, c in got} == want
+    assert len(calls) <= 2 * len(out) + 2  # not two a text
+
+
+def test_passages_leave_no_shuffle_files_or_chains(spark):
+    docs = generated(spark)
+    root = f"{scratch_root(spark).removeprefix('file:')}/{spark.sparkContext.applicationId}"
+
+    def tables():
+        return {d for d in (os.listdir(root) if os.path.isdir(root) else []) if d.startswith(("seeds", "chains", "passage-texts"))}
+
+    def shuffled():
+        dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+        return {f for d in dirs for _, _, files in os.walk(d.getPath()) for f in files if f.startswith("shuffle_")}
+
+    before, there = shuffled(), tables()
+    found = passages.repeated_passages(docs)
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert tables() <= there
+    assert found.count()
+
+
 def test_one_word_over_and_over_gives_few_seeds():
     from tessella.llm._sets import word_hashes
 
