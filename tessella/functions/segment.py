@@ -21,9 +21,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased letter and digit runs; each Han character is a token of its own."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{_HAN}|{_LATIN}"), F.lit(0))
+def tokens(text: Column, least: int = 1) -> Column:
+    """Lower-cased letter and digit runs; each Han character is a token of its own.  Those of `least` characters or more."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{_HAN}|{_LATIN}" if least < 2 else f"{_LATIN[:-1]}{{{least},}}"), F.lit(0))
 
 
 def _pairs(run: Column) -> Column:

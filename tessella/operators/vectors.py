@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -12,6 +13,12 @@ from pyspark.sql import functions as F
 from tessella.functions.clean import embedding_text
 from tessella.functions.segment import let, tokens, words
 from tessella.operators.tables import upsert
+from tessella.session import staged
+
+#: So many times the terms asked for are held to look up the second words of pairs.
+TIED = 4
+#: Rows of a task whose equal ids are added up together.
+STRETCH = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -194,20 +201,82 @@ def tfidf_embedding(df: DataFrame, id_col: str, text: Column, dim: int = 64, fea
     return PCA(k=k, inputCol="tfidf", outputCol="e").fit(sparse).transform(sparse).select(id_col, vector_to_array("e").alias("embedding"))
 
 
+def _commonest(terms: DataFrame, k: int) -> list:
+    """Rows (term, cf) of the k commonest terms; ties by term."""
+    return terms.groupBy("term").agg(F.count("*").alias("cf")).orderBy(F.desc("cf"), "term").limit(k).collect()
+
+
+def _pairs_of(w: Column, first: list[str], second: list[str] | None) -> Column:
+    """Neighbours with a space between them; a word of `first`, then one of `second` (None: any)."""
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    both = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.when(a.isin(first) & (b.isin(second) if second else F.lit(True)), F.concat_ws(" ", a, b)))
+    return F.filter(both, lambda p: p.isNotNull())
+
+
+def _term_counts(base: DataFrame, id_col: str, features: int, bigrams: bool) -> tuple[list[str], DataFrame]:
+    """The `features` commonest terms, and (id, tf: array of ix and n) of the rows of base (id, _w).
+
+    A pair is as common as its rarer word at most, and begins with its first word.  So one that comes before the last of
+    the `features` commonest words begins with one of these and ends with a word that is as common as the last of them;
+    other pairs are not counted.  Where too many words are as common as the last one, any may be the second."""
+    from pyspark.ml.feature import CountVectorizerModel
+
+    held = TIED * features
+    words = _commonest(base.select(F.explode("_w").alias("term")), held)
+    if not words:
+        return [], base.select(id_col, F.expr("CAST(array() AS array<struct<ix: int, n: double>>)").alias("tf")).limit(0)
+    first, least = [r["term"] for r in words[:features]], words[features - 1]["cf"] if len(words) >= features else 1
+    second = [r["term"] for r in words if r["cf"] >= least] if len(words) < held or words[-1]["cf"] < least else None
+    grams = F.filter("_w", lambda t: t.isin(first))
+    if bigrams:
+        grams = F.concat(grams, _pairs_of(F.col("_w"), first, second))
+        vocabulary = [r["term"] for r in _commonest(base.select(F.explode(grams).alias("term")), features)]
+    else:
+        vocabulary = first
+    model = CountVectorizerModel.from_vocabulary(vocabulary, "_g", "_c")
+    counted = model.transform(base.select(id_col, grams.alias("_g"))).select(id_col, F.unwrap_udt("_c").alias("_c"))
+    tf = F.arrays_zip(F.col("_c.indices").alias("ix"), F.col("_c.values").alias("n")).cast("array<struct<ix: int, n: double>>")
+    return vocabulary, counted.select(id_col, tf.alias("tf"))
+
+
+def _summed(tf: Column) -> Column:
+    """Entries of one ix added up."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i)["ix"] != F.get(s, i - 2)["ix"]))
+        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(s) + 1))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(s, a)["ix"].alias("ix"), F.aggregate(F.slice(s, a, b - a), F.lit(0.0), lambda n, x: n + x["n"]).alias("n")))
+
+    return let(F.sort_array(tf), runs)
+
+
+def _one_row_an_id(counts: DataFrame, id_col: str) -> DataFrame:
+    """Rows that share an id added up, by stretches of rows first: no task holds all rows of a frequent id."""
+    counts = counts.withColumn("_part", F.floor(F.monotonically_increasing_id() / STRETCH))
+    for keys in ([id_col, "_part"], [id_col]):
+        counts = counts.groupBy(*keys).agg(F.flatten(F.collect_list("tf")).alias("tf")).withColumn("tf", _summed(F.col("tf")))
+    return counts
+
+
 def tfidf_terms(df: DataFrame, id_col: str, text: Column, features: int = 1000, bigrams: bool = True) -> DataFrame:
     """id, term, weight: smooth idf ln((1 + n) / (1 + df)) + 1, rows of unit length, over the commonest terms of at
-    least two characters."""
-    w = F.filter(tokens(text), lambda t: F.length(t) >= 2)
-    t = df.select(F.col(id_col), w.alias("_w"))
-    pairs = F.when(F.size("_w") > 1, F.zip_with(F.slice("_w", F.lit(1), F.size("_w") - 1), F.slice("_w", F.lit(2), F.size("_w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    grams = t.select(id_col, F.explode(F.concat("_w", pairs) if bigrams else F.col("_w")).alias("term"))
-    tf = grams.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    vocabulary = df_.orderBy(F.desc("cf"), "term").limit(features)
-    n = df.agg(F.count("*").alias("n"))
-    x = tf.join(F.broadcast(vocabulary), "term").crossJoin(F.broadcast(n))  # `features` rows, one row
-    x = x.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    return x.select(id_col, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))).alias("weight"))
+    least two characters.
+
+    Terms are counted inside the row, so what is written are words, pairs of common words and a staged row a document
+    of at most `features` numbers, not the terms of all documents."""
+    vocabulary, counts = _term_counts(df.select(F.col(id_col), tokens(text, 2).alias("_w")), id_col, features, bigrams)
+    if not vocabulary:
+        return counts.select(id_col, F.lit("").alias("term"), F.lit(0.0).alias("weight"))
+    counts = staged(counts, "term-counts").filter(F.size("tf") > 0)  # before, the filter would count the terms once more
+    if counts.groupBy(id_col).count().agg(F.max("count")).first()[0] > 1:
+        counts = staged(_one_row_an_id(counts, id_col), "term-counts")
+    holders = {r["ix"]: r["df"] for r in counts.select(F.explode("tf.ix").alias("ix")).groupBy("ix").agg(F.count("*").alias("df")).collect()}
+    n = df.count()
+    idf = literal([math.log((1 + n) / (1 + holders[i])) + 1 for i in range(len(vocabulary))])
+    terms = F.array(*[F.lit(t) for t in vocabulary])
+    w = F.transform("tf", lambda x: x["n"] * F.get(idf, x["ix"]))
+    rows = let(w, lambda w: let(norm(w), lambda size: F.zip_with("tf", w, lambda x, y: F.struct(F.get(terms, x["ix"]).alias("term"), (y / size).alias("weight")))))
+    return counts.select(id_col, F.inline(rows))
 
 
 def store(old: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
